@@ -82,12 +82,13 @@ def border_background_color(cells: DataFrame) -> DataFrame:
 
 def replace_color(cells: DataFrame, rules: DataFrame) -> DataFrame:
     """Apply replacements (pattern_id, source_hex, target_key, target_hex); adds `is_replaced`."""
-    swap = rules.select("pattern_id", F.upper("source_hex").alias("_src"), "target_key", "target_hex")
-    hit = (cells["pattern_id"] == swap["pattern_id"]) & (F.upper(cells["hex"]) == swap["_src"]) & ~cells["is_external"]
-    joined = cells.join(swap, hit, "left")
+    swap = rules.select(
+        F.col("pattern_id").alias("_pattern"), F.upper("source_hex").alias("_src"), "target_key", "target_hex"
+    )
+    hit = (F.col("pattern_id") == F.col("_pattern")) & (F.upper("hex") == F.col("_src")) & ~F.col("is_external")
     done = F.col("target_key").isNotNull()
-    return joined.select(
-        cells["pattern_id"], *POSITION,
+    return cells.join(swap, hit, "left").select(
+        "pattern_id", *POSITION,
         F.coalesce("target_key", "color_key").alias("color_key"), F.coalesce("target_hex", "hex").alias("hex"),
         (F.col("is_external") & ~done).alias("is_external"), done.alias("is_replaced"),
     )

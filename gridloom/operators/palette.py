@@ -41,7 +41,7 @@ def _match_distinct(df: DataFrame, palette: DataFrame, on: list[str], pick, spac
     AQE splits a dominating colour. The colour's coordinates are computed below the join,
     so that they are not evaluated again for every palette entry.
     """
-    entries = lookup_side(palette_entries(palette, on, space))
+    entries = lookup_side(palette_entries(palette, on, space), probe=palette)
     distinct = df.select(*on, *RGB).where(F.col("r").isNotNull()).distinct()
     placed = distinct.withColumn("_at", space(F.col("r"), F.col("g"), F.col("b")))
     scored = placed.join(entries, on, "left").select(*on, *RGB, pick(_scored(metric)).alias("_match"))

@@ -11,9 +11,12 @@ LOOKUP_ROW_LIMIT = 20_000
 BLOCK_ROWS = 65_536
 
 
-def lookup_side(df: DataFrame, limit: int = LOOKUP_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast if `df` is proven small; otherwise leave the join to AQE."""
-    if df.limit(limit + 1).count() <= limit:
+def lookup_side(df: DataFrame, probe: DataFrame | None = None, limit: int = LOOKUP_ROW_LIMIT) -> DataFrame:
+    """Hint a broadcast if `df` is proven small; otherwise leave the join to AQE.
+
+    `probe` is a cheaper relation with at least as many rows, to be counted instead.
+    """
+    if (df if probe is None else probe).limit(limit + 1).count() <= limit:
         return F.broadcast(df)
     return df
 
