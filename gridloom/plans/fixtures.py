@@ -202,7 +202,7 @@ FIXTURE_SQL["fx_stock"] = """
 select warehouse_id, ord, cast(greatest(0,sum(delta)) as bigint) owned from fx_ledger group by 1,2
 """
 FIXTURE_SQL["fx_items"] = """
-select s.warehouse_id, p.color_key, p.hex, s.owned, s.ord>=90 is_extra
+select s.warehouse_id, s.ord item_idx, p.color_key, p.hex, s.owned, s.ord>=90 is_extra
   from fx_stock s join fx_palette p on p.ord=s.ord
 """
 
@@ -225,7 +225,7 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     """Warehouse items by colour code; the last six colours of each warehouse are extras."""
     pal = lookup_side(palette(spark, d).select("ord", "color_key", "hex"))
     return stock(spark, d).join(pal, "ord").select(
-        "warehouse_id", "color_key", "hex", "owned", (F.col("ord") >= 90).alias("is_extra")
+        "warehouse_id", F.col("ord").alias("item_idx"), "color_key", "hex", "owned", (F.col("ord") >= 90).alias("is_extra")
     )
 
 
