@@ -74,7 +74,7 @@ def estimate_pitch(points: DataFrame, images: DataFrame, size: int) -> DataFrame
     first = best.select("image_id", (F.col("_lo") + (F.col("_bin") + 0.5) * PITCH_BIN).alias("_p"))
     reach = F.greatest(F.lit(0.8), F.col("_p") * F.lit(0.035))
     near = distances.join(first, "image_id").where(F.abs(F.col("d") - F.col("_p")) <= reach)
-    middle = near.groupBy("image_id").agg(F.percentile("d", F.lit(0.5), "n").alias("_m"))
+    middle = near.groupBy("image_id").agg(F.percentile("d", F.lit(0.5), F.col("n")).alias("_m"))
     return first.join(middle, "image_id", "left").select("image_id", F.coalesce("_m", "_p").alias("pitch"))
 
 
@@ -299,7 +299,7 @@ def propose_pitches(candidates: DataFrame, images: DataFrame, size: int) -> Data
     raw = raw.select("image_id", (F.col("key") / 2.0).alias("pitch"))
     spans = images.select("image_id", *[c.alias(n) for n, c in _pitch_range(size).items()])
     near = _near_pitch(_short_pairs(candidates, spans, PITCH_POINTS), raw, 2.0, 0.12)
-    middle = near.groupBy("image_id", "pitch").agg(F.percentile("d", F.lit(0.5), "n").alias("_m"), F.sum("n").alias("_n"))
+    middle = near.groupBy("image_id", "pitch").agg(F.percentile("d", F.lit(0.5), F.col("n")).alias("_m"), F.sum("n").alias("_n"))
     refined = raw.join(middle, ["image_id", "pitch"], "left").select(
         "image_id", F.bround(F.when(F.col("_n") >= 3, F.col("_m")).otherwise(F.col("pitch")), 3).alias("pitch")
     ).distinct()
