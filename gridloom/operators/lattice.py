@@ -393,7 +393,10 @@ def filter_lattice_components(occupied: DataFrame, keys: list[str] | None = None
     first = F.row_number().over(group.orderBy(F.desc("_n"), "_l"))
     flat = comps.withColumns({"_most": most, "_first": first})
     large = (F.col("_n") >= F.greatest(F.lit(8), F.floor(F.col("_most") * 0.18))) & (F.col("_sr") >= 4) & (F.col("_sc") >= 4)
-    keep = (F.col("_total") < 12) | F.when(F.col("_most") < 8, F.col("_first") == 1).otherwise((F.col("_n") == F.col("_most")) | large)
+    flat = flat.withColumn("_keep", (F.col("_n") == F.col("_most")) | large)
+    flat = flat.withColumn("_cells", F.sum(F.when(F.col("_keep"), F.col("_n"))).over(group))
+    lone = F.col("_cells") < F.greatest(F.lit(8), F.col("_most"))
+    keep = (F.col("_total") < 12) | F.when(lone, F.col("_first") == 1).otherwise(F.col("_keep"))
     kept = labelled.join(flat.where(keep).select(*keys, "_l"), [*keys, "_l"], "left_semi").select(*keys, "row_idx", "col_idx")
     return occupied.join(kept, [*keys, "row_idx", "col_idx"], "left_semi")
 
@@ -401,7 +404,7 @@ def filter_lattice_components(occupied: DataFrame, keys: list[str] | None = None
 def score_lattice(candidates: DataFrame, offsets: DataFrame, images: DataFrame, size: int) -> DataFrame:
     """Score and confidence of every proposed lattice: (image_id, place, pitch, offsets, inliers, direct, score, confidence)."""
     tol = F.greatest(F.lit(2.4), F.col("pitch") * 0.19)
-    sized = candidates.join(images, "image_id").join(offsets, "image_id")
+    sized = candidates.drop("width", "height").join(images, "image_id").join(offsets, "image_id")
     col_ = F.bround((F.col("x") - F.col("offset_x")) / F.col("pitch")).cast("int")
     row_ = F.bround((F.col("y") - F.col("offset_y")) / F.col("pitch")).cast("int")
     placed = sized.withColumns({"row_idx": row_, "col_idx": col_}).where(F.col("row_idx").between(0, size - 1) & F.col("col_idx").between(0, size - 1))

@@ -156,8 +156,10 @@ with recursive n as (select image_id, row_idx, col_idx, row_idx*1000+col_idx id
  e as (select a.image_id, a.id u, b.id v from n a join n b on a.image_id=b.image_id and a.id<>b.id and abs(a.row_idx-b.row_idx)<=2 and abs(a.col_idx-b.col_idx)<=2 and abs(a.row_idx-b.row_idx)+abs(a.col_idx-b.col_idx)<=3),
  r(image_id, id, label) as (select image_id, id, id from n union select r.image_id, e.v, r.label from r join e on e.image_id=r.image_id and e.u=r.id where e.v>r.label),
  l as (select image_id, id, min(label) label from r group by 1,2), c as (select l.image_id, label, count(*) n, max(row_idx)-min(row_idx)+1 sr, max(col_idx)-min(col_idx)+1 sc from l join n using (image_id, id) group by 1,2),
- m as (select image_id, max(n) mx, sum(n) total from c group by 1)
-select l.image_id, n.row_idx, n.col_idx from l join n using (image_id, id) join c using (image_id, label) join m using (image_id) where total<12 or c.n=mx or (c.n>=greatest(8,floor(mx*0.18)) and sr>=4 and sc>=4)
+ m as (select image_id, max(n) mx, sum(n) total, arg_min(label,{'a':-n,'b':label}) lone from c group by 1),
+ k as (select c.*, mx, total, lone, c.n=mx or (c.n>=greatest(8,floor(mx*0.18)) and sr>=4 and sc>=4) keep from c join m using (image_id)),
+ q as (select *, sum(n) filter (where keep) over (partition by image_id) kept from k)
+select l.image_id, n.row_idx, n.col_idx from l join n using (image_id, id) join q using (image_id, label) where total<12 or case when kept<greatest(8,mx) then label=lone else keep end
 """)
 def lattice_components(spark, d):
     pts = fx.text_centers(spark, d)
