@@ -309,25 +309,26 @@ def choose_count(df: DataFrame, sources: list[str], labels: list[str] = COUNT_SO
 
     A text two sources agree on wins, else the first non-empty one. Works per row.
     """
-    named = F.filter(
-        F.array(*[F.struct(F.lit(l).alias("source"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("text")) for c, l in zip(sources, labels)]),
-        lambda s: s["text"] != "",
-    )
-    df = df.withColumn("_seen", named)
-    texts = F.transform("_seen", lambda s: s["text"])
-    agreed = F.filter(texts, lambda t: F.size(F.filter(texts, lambda u: u == t)) >= 2)
-    text = F.coalesce(F.get(agreed, F.lit(0)), F.get(texts, F.lit(0)), F.lit(""))
-    df = df.withColumns({"count_text": text, "_agreed": F.size(agreed) >= 2, "_mixed": F.size(F.array_distinct(texts)) > 1})
-    chosen = F.col("count_text")
-    backing = F.transform(F.filter("_seen", lambda s: s["text"] == chosen), lambda s: s["source"])
-    label = F.when(chosen == "", "missing").when(F.col("_agreed") & F.col("_mixed"), "majority_vote").otherwise(F.get(backing, F.lit(0)))
+    labels = labels[: len(sources)]
+    texts = {l: F.nullif(F.col(c).cast("string"), F.lit("")) for c, l in zip(sources, labels)}
+    agreed = [
+        F.when(F.greatest(*[F.coalesce(t == o, F.lit(False)).cast("int") for k, o in texts.items() if k != l], F.lit(0)) == 1, t)
+        for l, t in texts.items()
+    ]
+    df = df.withColumns({"_agreed": F.coalesce(*agreed), "_first": F.coalesce(*texts.values())})
+    chosen = F.coalesce("_agreed", "_first")
+    backing = F.array_compact(F.array(*[F.when(t == chosen, F.lit(l)) for l, t in texts.items()]))
+    lone = F.coalesce(*[F.when(t == chosen, F.lit(l)) for l, t in texts.items()])
+    mixed = F.greatest(F.lit(0), *[F.coalesce(t != F.col("_first"), F.lit(False)).cast("int") for t in texts.values()]) == 1
+    none = F.array().cast("array<string>")
     return df.withColumns(
         {
-            "count_source": label,
-            "vote_sources": F.when(F.col("_agreed"), backing).otherwise(F.slice(backing, 1, 1)),
-            "is_conflict": F.col("_mixed"),
+            "count_text": F.coalesce(chosen, F.lit("")),
+            "count_source": F.when(chosen.isNull(), "missing").when(F.col("_agreed").isNotNull() & mixed, "majority_vote").otherwise(lone),
+            "vote_sources": F.when(chosen.isNull(), none).when(F.col("_agreed").isNotNull(), backing).otherwise(F.array(lone)),
+            "is_conflict": mixed,
         }
-    ).drop("_seen", "_agreed", "_mixed")
+    ).drop("_agreed", "_first")
 
 
 # --- pages and groups -------------------------------------------------------
@@ -338,10 +339,11 @@ def page_color_rows(items: DataFrame, max_distance: float = UNCERTAIN_DISTANCE)
     `candidates` is the array of numbers read by the sources, in source order.
     """
     evidence = F.struct("candidates", "is_conflict", "distance")
-    rows = items.where("count is not null").groupBy("group_id", "page_idx", "color_key").agg(
-        F.sum("count").alias("count"), F.min_by(evidence, F.struct("distance", "item_idx")).alias("_e")
-    )
-    return rows.select(
+    # Uncounted rows are left out inside the aggregates: a filter would be pushed below the
+    # vote and evaluate it a second time.
+    order = F.when(F.col("count").isNotNull(), F.struct("distance", "item_idx"))
+    rows = items.groupBy("group_id", "page_idx", "color_key").agg(F.sum("count").alias("count"), F.min_by(evidence, order).alias("_e"))
+    return rows.where("count is not null").select(
         "group_id", "page_idx", "color_key", "count", "_e.*", (F.col("_e.distance") > max_distance).alias("is_uncertain")
     )
 
@@ -382,19 +384,15 @@ def merge_pages(rows: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame
     for the reconciliation.
     """
     key = ["group_id", "color_key"]
-    read = F.array_union(F.coalesce("candidates", F.array().cast("array<bigint>")), F.array(F.col("count").cast("bigint")))
-    choices = rows.select(*key, F.explode(read).alias("_v")).distinct().groupBy(*key).agg(
-        F.array_sort(F.collect_list("_v")).alias("choices")
-    )
     merged = rows.groupBy(*key).agg(
         F.count_distinct("count").alias("n_counts"), F.max("count").alias("max_count"),
         F.bool_or("is_conflict").alias("has_conflict"), F.min("distance").alias("distance"),
         F.count_distinct("page_idx").alias("n_pages"),
-    ).join(choices, key)
+    ).join(_readings_of(rows), key).withColumn("fallback", F.coalesce("_voted", "max_count")).drop("_voted")
     totals = pages.groupBy("group_id").agg(
         F.max("expected_total").alias("expected_total"), F.max("transparent_count").alias("transparent_count")
     )
-    return merged.join(fallback_counts(rows), ["group_id", "color_key"]), totals
+    return merged, totals
 
 
 def color_sources(rows: DataFrame) -> DataFrame:
@@ -402,14 +400,24 @@ def color_sources(rows: DataFrame) -> DataFrame:
     return rows.select("group_id", "color_key", "page_idx").distinct()
 
 
-def fallback_counts(rows: DataFrame) -> DataFrame:
-    """Number most often read for a colour, first read on ties; without any, the largest count."""
-    read = rows.select("group_id", "color_key", "page_idx", F.posexplode("candidates").alias("_pos", "_v"))
-    votes = read.groupBy("group_id", "color_key", "_v").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("page_idx", "_pos")).alias("_at"))
-    best = votes.groupBy("group_id", "color_key").agg(F.min_by("_v", F.struct(-F.col("_n"), F.col("_at"))).alias("_best"))
-    most = rows.groupBy("group_id", "color_key").agg(F.max(F.coalesce("count", F.lit(0))).alias("_max"))
-    return most.join(best, ["group_id", "color_key"], "left").select(
-        "group_id", "color_key", F.coalesce("_best", "_max").alias("fallback")
+def _readings_of(rows: DataFrame) -> DataFrame:
+    """Per group and colour: the sorted distinct readings and counts, and the reading most sources gave.
+
+    Readings are counted per value first, so a colour carries at most one entry per
+    number a source can give. Equal votes go to the number read first.
+    """
+    value = lambda vote, pos, v: F.struct(F.lit(vote).alias("vote"), pos.alias("pos"), v.cast("bigint").alias("v"))
+    every = F.concat(
+        F.transform(F.coalesce("candidates", F.array().cast("array<bigint>")), lambda c, i: value(1, i, c)),
+        F.array(value(0, F.lit(0), F.col("count"))),
+    )
+    key = ["group_id", "color_key"]
+    votes = rows.select(*key, "page_idx", F.explode(every).alias("_e")).groupBy(*key, F.col("_e.v").alias("_v")).agg(
+        F.sum("_e.vote").alias("_n"), F.min(F.when(F.col("_e.vote") == 1, F.struct("page_idx", "_e.pos"))).alias("_at")
+    )
+    return votes.groupBy(*key).agg(
+        F.array_sort(F.collect_list("_v")).alias("choices"),
+        F.min_by(F.when(F.col("_n") > 0, F.col("_v")), F.when(F.col("_n") > 0, F.struct(-F.col("_n"), F.col("_at")))).alias("_voted"),
     )
 
 

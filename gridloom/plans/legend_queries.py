@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gridloom.lineage import cut_lineage
 from gridloom.operators import legend as ops
 from gridloom.plans import fixtures as fx
 from gridloom.plans.registry import FIXTURE_SQL, query
@@ -291,7 +292,7 @@ select r.*, f.fallback, x.choices from (select group_id, color_key, count(distin
 
 
 def merged(spark, d):
-    rows = ops.page_color_rows(legend_items(spark, d))
+    rows = cut_lineage(ops.page_color_rows(legend_items(spark, d)))
     pages = rows.select("group_id", F.lit(None).cast("bigint").alias("expected_total"), F.when(F.col("group_id") % 4 == 0, F.col("page_idx").cast("bigint")).alias("transparent_count"))
     return ops.merge_pages(rows, pages)
 
@@ -322,8 +323,6 @@ with recursive u as (select *, has_conflict or n_counts>1 unsure from fx_merged)
 
 
 def reconciled(spark, d):
-    from gridloom.lineage import cut_lineage
-
     rows, totals = merged(spark, d)
     return ops.reconcile_counts(cut_lineage(rows), totals, expected(spark, d))
 
