@@ -1,0 +1,23 @@
+from gridloom.streaming import ledger_stream
+
+SCHEMA = "event_id bigint, seq bigint, warehouse_id string, color_key string, delta bigint, created_at timestamp"
+
+
+def write(spark, path, rows_):
+    spark.createDataFrame(rows_, "event_id bigint, seq bigint, warehouse_id string, color_key string, delta bigint, at string").selectExpr(
+        "event_id", "seq", "warehouse_id", "color_key", "delta", "cast(at as timestamp) created_at"
+    ).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_stream_counts_every_event_once_across_restarts(spark, tmp_path, rows):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+
+    def run():
+        ledger_stream.run_ledger_stream(spark.readStream.schema(SCHEMA).parquet(source), out, checkpoint)
+        return rows(ledger_stream.current_balances(spark, out))
+
+    write(spark, source, [(1, 1, "w", "A", 5, "2024-01-01 00:00:00"), (2, 2, "w", "A", -2, "2024-01-01 00:01:00"), (1, 1, "w", "A", 5, "2024-01-01 00:00:00")])
+    assert run() == [("w", "A", 3, 2)]
+    write(spark, source, [(2, 2, "w", "A", -2, "2024-01-01 00:01:00"), (3, 3, "w", "B", 4, "2024-01-01 00:02:00"), (4, 4, "w", "A", 10, "2024-01-01 00:03:00")])
+    assert run() == [("w", "A", 13, 4), ("w", "B", 4, 3)]
+    assert run() == [("w", "A", 13, 4), ("w", "B", 4, 3)]
