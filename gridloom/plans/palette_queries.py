@@ -43,11 +43,10 @@ from (select *, case when xx>0.008856e0 then cbrt(xx) else 7.787e0*xx+16e0/116e0
 select swatch_id, color_key match_key, round(sqrt(d2),6) match_distance from (
   select s.swatch_id, p.color_key, (s.lab_l-p.lab_l)*(s.lab_l-p.lab_l)+(s.lab_a-p.lab_a)*(s.lab_a-p.lab_a)+(s.lab_b-p.lab_b)*(s.lab_b-p.lab_b) d2,
          row_number() over (partition by s.swatch_id order by (s.lab_l-p.lab_l)*(s.lab_l-p.lab_l)+(s.lab_a-p.lab_a)*(s.lab_a-p.lab_a)+(s.lab_b-p.lab_b)*(s.lab_b-p.lab_b), p.ord) rn
-    from fx_swatch_lab8 s join fx_palette_lab8 p on true) where rn=1
+    from fx_swatch_lab8 s join fx_palette_lab8 p on p.ord<case s.palette_name when '96' then 96 when '144' then 144 else 291 end) where rn=1
 """)
 def match_palette_lab(spark, d):
-    pal = fx.palette_sets(spark, d).where("palette_name = '291'")
-    found = ops.match_palette_lab(fx.swatches(spark, d).withColumn("palette_name", F.lit("291")), pal, ["palette_name"])
+    found = ops.match_palette_lab(fx.swatches(spark, d), fx.palette_sets(spark, d), ["palette_name"])
     return found.select("swatch_id", "match_key", "match_distance")
 
 

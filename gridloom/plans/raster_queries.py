@@ -191,12 +191,13 @@ select distinct pattern_id, (select lower(hex) from fx_palette where ord=case wh
 
 def _rules(spark, d):
     pal = fx.palette(spark, d)
-    pats = fx.cells(spark, d).select("pattern_id").distinct().withColumn("ord", F.when(F.col("pattern_id") % 2 == 0, 22).otherwise(33))
-    target = pal.where("ord = 77").select(F.lit(1).alias("_j"), F.col("color_key").alias("target_key"), F.col("hex").alias("target_hex"))
-    return (
-        pats.join(ops.lookup_side(pal.select("ord", F.lower("hex").alias("source_hex"))), "ord").withColumn("_j", F.lit(1))
-        .join(target, "_j").select("pattern_id", "source_hex", "target_key", "target_hex")
+    p = F.col("pattern_id")
+    pats = fx.cells(spark, d).select("pattern_id").distinct().withColumns(
+        {"_from": F.when(p % 2 == 0, 22).otherwise(33), "_to": F.when(p >= 0, 77)}
     )
+    source = ops.lookup_side(pal.select(F.col("ord").alias("_from"), F.lower("hex").alias("source_hex")))
+    target = ops.lookup_side(pal.select(F.col("ord").alias("_to"), F.col("color_key").alias("target_key"), F.col("hex").alias("target_hex")))
+    return pats.join(source, "_from").join(target, "_to").select("pattern_id", "source_hex", "target_key", "target_hex")
 
 
 @query("replace_color", """

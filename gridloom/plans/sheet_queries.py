@@ -223,7 +223,7 @@ def update_cells(spark, d):
 ) + ", visibility, visible_ratio from fx_reviewed c, fx_palette t where t.ord=44")
 def update_color_groups(spark, d):
     pal = fx.palette(spark, d)
-    target = pal.where("ord = 44").select(F.lit(11).alias("ord"), F.col("color_key").alias("target_key"), F.col("hex").alias("target_hex"))
+    target = pal.where("ord = 44").select((F.col("ord") - 33).alias("ord"), F.col("color_key").alias("target_key"), F.col("hex").alias("target_hex"))
     rules = pal.where("ord in (11, 33)").select("ord", "color_key").join(target, "ord", "left")
     used = fx.cells(spark, d).select("pattern_id", "color_key").distinct().join(ops.lookup_side(rules), "color_key")
     return ops.update_color_groups(reviewed(spark, d), used).drop("recommended_keys")

@@ -184,48 +184,51 @@ def read_inventory_entries(spark, d):
 
 
 def _projects(spark, d):
-    """Project documents: one current file per customer, for every fourth also a former one."""
-    orders = fx.table(spark, d, "orders")
+    """Project documents of ten orders each: a current file, for every fourth also a former one."""
     counts = fx.counted(spark, d).groupBy("pattern_id").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("color_key", F.col("cnt").cast("double"))))).alias("colorCounts")
     )
-    pats = orders.select(
-        F.col("o_orderkey").alias("pattern_id"), F.col("o_custkey").alias("project_id"), F.col("o_orderstatus"), F.col("o_totalprice")
-    ).join(counts, "pattern_id", "left")
+    pats = fx.table(spark, d, "orders").withColumn("pattern_id", F.col("o_orderkey")).join(counts, "pattern_id", "left")
     doc = F.struct(
         F.col("pattern_id").cast("string").alias("id"), F.when(F.col("pattern_id") % 2 == 0, F.concat(F.lit("p"), "pattern_id")).alias("name"),
         F.floor("o_totalprice").cast("double").alias("totalBeadCount"), "colorCounts",
         F.when(F.col("o_orderstatus") == "O", "in_progress").when(F.col("o_orderstatus") == "F", "completed").otherwise("odd").alias("status"),
     )
-    nested = pats.groupBy("project_id").agg(F.sort_array(F.collect_list(doc.dropFields("colorCounts"))).alias("_s"), F.collect_list(doc).alias("patterns"))
-    c = F.col("c_custkey")
-    heads = fx.table(spark, d, "customer").join(nested, c == F.col("project_id"), "left").select(
-        F.when(c % 3 == 0, F.concat(F.lit("id"), c)).alias("id"), F.col("c_name").alias("name"), (c % 10).cast("string").alias("warehouseId"), "patterns",
-        F.concat(F.lit("/projects/dir"), c, F.lit("/project_data.json")).alias("path"), (c % 4 == 0).alias("_old"),
+    nested = pats.groupBy(F.floor(F.col("pattern_id") / 10).alias("_b")).agg(F.collect_list(doc).alias("patterns"))
+    b = F.col("_b")
+    heads = nested.select(
+        F.when(b % 3 == 0, F.concat(F.lit("id"), b)).alias("id"), F.concat(F.lit("block "), b).alias("name"), (b % 10).cast("string").alias("warehouseId"),
+        "patterns", F.concat(F.lit("/projects/dir"), b, F.lit("/project_data.json")).alias("path"), (b % 4 == 0).alias("_old"),
     )
-    former = heads.where("_old").select(F.lit("old").alias("id"), F.lit("old").alias("name"), "warehouseId", F.lit(None).cast(heads.schema["patterns"].dataType).alias("patterns"), F.regexp_replace("path", "project_data", "project").alias("path"), "_old")
+    former = heads.where("_old").withColumns({"id": F.lit("old"), "name": F.lit("old"), "path": F.regexp_replace("path", "project_data", "project")})
     lines = scratch_path(spark, "projects")
     heads.unionByName(former).drop("_old").write.json(lines)
     docs = spark.read.schema(documents.PROJECT_SCHEMA + ", path string").json(lines)
     return documents.parse_projects(docs)
 
 
+FIXTURE_SQL["fx_project_blocks"] = """
+select distinct o_orderkey//10 b, case when o_orderkey//10%3=0 then 'id'||(o_orderkey//10) else 'dir'||(o_orderkey//10) end project_id from orders
+"""
+
+
 @query("read_projects", """
-select case when c_custkey%3=0 then 'id'||c_custkey else 'dir'||c_custkey end project_id, 'dir'||c_custkey directory, c_name "name", cast(c_custkey%10 as varchar) warehouse_id, '未绑定豆仓' warehouse_name, 'draft' status from customer
+select project_id, 'dir'||b directory, 'block '||b "name", cast(b%10 as varchar) warehouse_id, '未绑定豆仓' warehouse_name, 'draft' status from fx_project_blocks
 """)
 def read_projects(spark, d):
     return _projects(spark, d)[0].select("project_id", "directory", "name", "warehouse_id", "warehouse_name", "status")
 
 
 @query("read_project_patterns", """
-select case when o_custkey%3=0 then 'id'||o_custkey else 'dir'||o_custkey end project_id, cast(o_orderkey as varchar) pattern_id, case when o_orderkey%2=0 then 'p'||o_orderkey else '未命名图纸' end "name",
-       cast(floor(o_totalprice) as bigint) bead_total, case o_orderstatus when 'O' then 'in_progress' when 'F' then 'completed' else 'draft' end status, false is_deducted from orders join customer on c_custkey=o_custkey
+select project_id, cast(o_orderkey as varchar) pattern_id, case when o_orderkey%2=0 then 'p'||o_orderkey else '未命名图纸' end "name",
+       cast(floor(o_totalprice) as bigint) bead_total, case o_orderstatus when 'O' then 'in_progress' when 'F' then 'completed' else 'draft' end status, false is_deducted
+  from orders join fx_project_blocks on b=o_orderkey//10
 """)
 def read_project_patterns(spark, d):
     return _projects(spark, d)[1].select("project_id", "pattern_id", "name", "bead_total", "status", "is_deducted")
 
 
-@query("read_project_counts", "select cast(pattern_id as varchar) pattern_id, color_key, cnt as \"count\" from fx_counted join orders on o_orderkey=pattern_id join customer on c_custkey=o_custkey where cnt>0")
+@query("read_project_counts", "select cast(pattern_id as varchar) pattern_id, color_key, cnt as \"count\" from fx_counted join orders on o_orderkey=pattern_id where cnt>0")
 def read_project_counts(spark, d):
     return _projects(spark, d)[2]
 
