@@ -244,11 +244,29 @@ def match_components(features: DataFrame, limit: int = HASH_LIMIT) -> DataFrame:
 
 # --- greedy grouping --------------------------------------------------------
 
+class _Growing:
+    """Rows of a numpy array that doubles its room when full."""
+
+    def __init__(self, dtype, width: int | None = None):
+        self.n = 0
+        self.data = np.empty((16,) if width is None else (16, width), dtype)
+
+    def append(self, row) -> None:
+        if self.n == len(self.data):
+            self.data = np.concatenate([self.data, np.empty_like(self.data)])
+        self.data[self.n] = row
+        self.n += 1
+
+    @property
+    def rows(self):
+        return self.data[: self.n]
+
+
 class _Component:
     """Groups of one component while its images arrive in order.
 
     A group is kept as its distinct fingerprints, codes, page types and last position, so
-    copies add nothing to the state.
+    copies add nothing to the state. One vector step compares an image with all of them.
     """
 
     def __init__(self, limit: int, window: int):
@@ -258,31 +276,37 @@ class _Component:
         self.last: list[int] = []
         self.keys: list[set] = []
         self.types: list[set] = []
+        self.by_key: dict[str, set] = {}
         self.prints: dict[int, tuple] = {}
-        self.entries: list[tuple[int, int]] = []  # (group, fingerprint id)
         self.known: set[tuple[int, int]] = set()
+        self.group = _Growing(np.int64)
+        self.sig = _Growing(np.int64)
+        self.ph, self.dh = _Growing(np.uint64), _Growing(np.uint64)
+        self.hist: _Growing | None = None
         self.reviews: list[tuple] = []
 
     def _distances(self, sig: int) -> dict[int, tuple]:
-        """Per group with images: smallest value of each distance, largest correlation, any exact copy."""
-        if not self.entries:
+        """Per group with images: smallest value of each distance and whether it holds an exact copy."""
+        if not self.group.n:
             return {}
-        ph, dh, hist, th = self.prints[sig]
-        groups = np.array([g for g, _ in self.entries])
-        sigs = [s for _, s in self.entries]
-        phs = np.array([self.prints[s][0] for s in sigs], dtype=np.uint64)
-        dhs = np.array([self.prints[s][1] for s in sigs], dtype=np.uint64)
-        d1 = np.bitwise_count(phs ^ np.uint64(ph)).astype(int)
-        d2 = np.bitwise_count(dhs ^ np.uint64(dh)).astype(int)
-        d3 = np.array([np.abs(self.prints[s][2] - hist).mean() for s in sigs])
+        ph, dh, hist, _ = self.prints[sig]
+        of = self.group.rows
+        d1 = np.bitwise_count(self.ph.rows ^ np.uint64(ph)).astype(np.int64)
+        d2 = np.bitwise_count(self.dh.rows ^ np.uint64(dh)).astype(np.int64)
+        d3 = np.abs(self.hist.rows - hist).mean(axis=1)
         exact = (d1 == 0) & (d2 == 0) & (d3 <= EXACT_HIST)
-        out = {}
-        for g in np.unique(groups):
-            at = groups == g
-            out[int(g)] = (d1[at].min(), d2[at].min(), d3[at].min(), exact[at].any(), [s for s, a in zip(sigs, at) if a])
-        return out
-
-    def _visual(self, sig: int, others: list[int]) -> tuple[float, float]:
+        n = len(self.leaders)
+        low = []
+        for d, most in ((d1, 65), (d2, 65), (d3, np.inf)):
+            m = np.full(n, most, dtype=d.dtype)
+            np.minimum.at(m, of, d)
+            low.append(m)
+        copies = np.zeros(n, bool)
+        np.logical_or.at(copies, of, exact)
+        return {int(g): (low[0][g], low[1][g], low[2][g], copies[g]) for g in np.flatnonzero(low[0] < 65)}
+
+    def _visual(self, sig: int, g: int) -> tuple[float, float]:
+        others = self.sig.rows[self.group.rows == g].tolist()
         th = self.prints[sig][3]
         mae = min(float(np.abs(self.prints[s][3] - th).mean()) for s in others)
 
@@ -316,7 +340,7 @@ class _Component:
             if d is not None:
                 if pattern:
                     return closeness
-                mae, corr = self._visual(item.sig, d[4])
+                mae, corr = self._visual(item.sig, g)
                 if corr >= VISUAL_CORR and mae <= VISUAL_MAE and d[2] <= VISUAL_HIST:
                     return 1.25 + mae * 10.0
                 if near and item.page_type != DETAIL:
@@ -329,9 +353,12 @@ class _Component:
     def add(self, item) -> tuple[int, str]:
         """Group leader the image joins, and how."""
         dist = self._distances(item.sig) if item.has_image else {}
+        # Groups that share no code and are not close in both hashes cannot match.
+        open_ = {g for g, d in dist.items() if d[0] <= self.limit and d[1] <= self.limit}
+        open_ |= self.by_key.get(item.pair_key, set()) if item.pair_key else set()
         for source in ("local", "global"):
             best = None
-            for g in range(len(self.leaders)):
+            for g in sorted(open_):
                 if source == "local" and item.order_idx - self.last[g] > self.window:
                     continue
                 score = self._score(g, item, dist)
@@ -352,10 +379,15 @@ class _Component:
         self.last[g] = item.order_idx
         if item.pair_key:
             self.keys[g].add(item.pair_key)
+            self.by_key.setdefault(item.pair_key, set()).add(g)
         self.types[g].add(item.page_type)
         if item.has_image and (g, item.sig) not in self.known:
             self.known.add((g, item.sig))
-            self.entries.append((g, item.sig))
+            ph, dh, hist, _ = self.prints[item.sig]
+            if self.hist is None:
+                self.hist = _Growing(np.float64, len(hist))
+            for column, value in ((self.group, g), (self.sig, item.sig), (self.ph, ph), (self.dh, dh), (self.hist, hist)):
+                column.append(value)
         return self.leaders[g], source
 
 

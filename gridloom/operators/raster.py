@@ -86,7 +86,7 @@ def pixelate(
     `palette` holds all of them. Cells without an opaque pixel become external.
     """
     represent = {"dominant": dominant_color, "average": average_color}[mode]
-    grid = represent(assign_cells(pixels, columns, sizes)).join(lookup_side(image_palettes), "image_id")
+    grid = represent(assign_cells(pixels, columns, sizes)).join(image_palettes, "image_id")
     return _to_cells(nearest_palette_color(grid, palette, ["palette_name"]))
 
 

@@ -202,7 +202,7 @@ def analyze_sheet(
     grid = generate_cells(sheet_lines(clamp_sheets(sheets, sizes)))
     sampled = sample_dominant_color(pixels, grid.where("visibility = 'full'"), sizes)
     cell = ["image_id", *POSITION]
-    known = grid.join(sampled, cell, "left").join(lookup_side(sheets.select("image_id", "palette_name")), "image_id")
+    known = grid.join(sampled, cell, "left").join(sheets.select("image_id", "palette_name"), "image_id")
     ranked = nearest_k_colors(known, palette, ["palette_name"], 5)
     near = F.get("nearest", F.lit(0))
     unsampled = F.col("r").isNull()
@@ -296,7 +296,7 @@ def update_cells(analyzed: DataFrame, corrections: DataFrame) -> DataFrame:
 def update_color_groups(analyzed: DataFrame, corrections: DataFrame) -> DataFrame:
     """Set all cells of a code (pattern_id, color_key, target_key, target_hex)."""
     marked = corrections.select("pattern_id", "color_key", "target_key", "target_hex", F.lit(True).alias("_hit"))
-    joined = analyzed.join(lookup_side(marked), ["pattern_id", "color_key"], "left")
+    joined = analyzed.join(marked, ["pattern_id", "color_key"], "left")
     return _corrected(joined, F.coalesce("_hit", F.lit(False)) & ~F.col("is_external"), analyzed.columns)
 
 

@@ -44,22 +44,30 @@ def downsample_area(spark, d):
     return ops.downsample_area(crop(spark, d), 32, 32)
 
 
-@query("dhash", """
+FIXTURE_SQL["fx_dhash"] = """
 select a.image_id, printf('%016x', sum(case when b."value">a."value" then cast(1 as hugeint)<<(a.row_idx*8+a.col_idx) else 0 end)) dhash
   from fx_blocks9 a join fx_blocks9 b on a.image_id=b.image_id and a.row_idx=b.row_idx and b.col_idx=a.col_idx+1 group by 1
-""")
-def dhash(spark, d):
-    return ops.dhash(crop(spark, d)).select("image_id", F.lower(F.lpad(F.hex("dhash"), 16, "0")).alias("dhash"))
-
-
-@query("phash", """
+"""
+FIXTURE_SQL["fx_phash"] = """
 with f as (select unnest(range(8)) f), k as (select unnest(range(32)) i), cs as (select f, i, sqrt((case when f=0 then 1 else 2 end)/32e0)*cos(pi()*(2*i+1)*f/64e0) c from f, k),
  lo as (select image_id, a.f u, b.f v, round(sum("value"*a.c*b.c),6) z from fx_blocks32 p join cs a on a.i=p.row_idx join cs b on b.i=p.col_idx group by 1,2,3),
  m as (select image_id, median(z) md from lo where u>0 and v>0 group by 1)
 select lo.image_id, printf('%016x', sum(case when z>md then cast(1 as hugeint)<<cast(u*8+v as int) else 0 end)) phash from lo join m using (image_id) group by 1
-""")
+"""
+
+
+def hexed(name):
+    return F.lower(F.lpad(F.hex(name), 16, "0")).alias(name)
+
+
+@query("dhash", "select * from fx_dhash")
+def dhash(spark, d):
+    return ops.dhash(crop(spark, d)).select("image_id", hexed("dhash"))
+
+
+@query("phash", "select * from fx_phash")
 def phash(spark, d):
-    return ops.phash(crop(spark, d)).select("image_id", F.lower(F.lpad(F.hex("phash"), 16, "0")).alias("phash"))
+    return ops.phash(crop(spark, d)).select("image_id", hexed("phash"))
 
 
 @query("color_histogram", """
@@ -75,10 +83,18 @@ def thumb(spark, d):
     return ops.thumb(crop(spark, d)).select("image_id", F.posexplode("thumb").alias("cell", "share")).withColumn("share", F.round("share", 6))
 
 
-@query("image_fingerprints")
+@query("image_fingerprints", """
+with c as (select image_id, count(*) filter (where r//32=0)/count(*)::double dark_red from fx_crop group by 1), t as (select image_id, sum("value")/255e0 thumb_total, count(*) thumb_size from fx_blocks32 group by 1)
+select image_id, phash, dhash, round(dark_red,6) dark_red, round(thumb_total,6) thumb_total, thumb_size::int thumb_size from fx_phash join fx_dhash using (image_id) join c using (image_id) join t using (image_id)
+""")
 def image_fingerprints(spark, d):
     px = fx.pixels(spark, d)
-    return ops.image_fingerprints(px, image_sizes(px))
+    found = ops.image_fingerprints(px, image_sizes(px))
+    total = F.aggregate("thumb", F.lit(0.0), lambda acc, v: acc + v)
+    return found.select(
+        "image_id", hexed("phash"), hexed("dhash"), F.round(F.get("color_hist", F.lit(0)), 6).alias("dark_red"),
+        F.round(total, 6).alias("thumb_total"), F.size("thumb").alias("thumb_size"),
+    )
 
 
 # --- candidates, distances, rules -------------------------------------------
