@@ -201,7 +201,7 @@ def _moved(spark, d):
     p = F.col("pattern_id")
     target = F.when(F.pmod(p, F.lit(4)) == 0, "completed").when(p % 4 == 1, "in_progress").when(p % 4 == 2, "draft").otherwise("odd")
     requests = asked(spark, d).distinct().withColumn("target", target)
-    return ops.move_patterns(requests, members(spark, d), F.lit("2030-01-01").cast("timestamp"))
+    return ops.move_patterns(requests, members(spark, d), F.lit("2030-01-01").cast("timestamp_ntz"))
 
 
 @query("move_patterns", _MOVE + """
