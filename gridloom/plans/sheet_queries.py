@@ -154,6 +154,7 @@ select c.*, e.color_key is null is_extra, case when e.color_key is null then (se
 """
 
 
+# The palette name is computed from a column: a literal on both sides would turn the join into a product.
 def even_palette(spark, d):
     return fx.palette(spark, d).where("ord % 2 = 0").withColumn("palette_name", F.concat(F.lit("even"), F.col("ord") * 0))
 
