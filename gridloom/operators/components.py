@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.lineage import cut_lineage
 
-# Up to this many edges one task finishes the graph; beyond it the star rounds do.
-SMALL_GRAPH_EDGES = 200_000
-MAX_ROUNDS = 60
-
 
 def _star(edges: DataFrame, within: list[str], large: bool) -> DataFrame:
     """One star step: hang neighbours (larger or smaller ones) on the smallest neighbour.
@@ -39,69 +34,24 @@ def _fingerprint(edges: DataFrame, within: list[str]) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first())
 
 
-def _union_find(within: list[str]):
-    def run(batches):
-        frames = list(batches)
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        parent: dict = {}
-
-        def root(n):
-            path = []
-            while parent.setdefault(n, n) != n:
-                path.append(n)
-                n = parent[n]
-            for p in path:
-                parent[p] = n
-            return n
-
-        scopes = list(zip(*[pdf[c] for c in within])) if within else [()] * len(pdf)
-        for scope, u, v in zip(scopes, pdf["u"], pdf["v"]):
-            a, b = root((scope, u)), root((scope, v))
-            if a != b:
-                lo, hi = (a, b) if a[1] < b[1] else (b, a)
-                parent[hi] = lo
-        nodes = list(parent)
-        yield pd.DataFrame(
-            {
-                **{c: [n[0][i] for n in nodes] for i, c in enumerate(within)},
-                "node": [n[1] for n in nodes],
-                "component": [root(n)[1] for n in nodes],
-            }
-        )
-
-    return run
-
-
-def connected_components(
-    edges: DataFrame, within: list[str] | None = None, small_limit: int = SMALL_GRAPH_EDGES
-) -> DataFrame:
+def connected_components(edges: DataFrame, within: list[str] | None = None) -> DataFrame:
     """Component of every node on an edge: (*within, node, component = smallest node).
 
-    `edges` has the `within` columns plus u and v. A graph counted to be small is finished
-    by one task; a larger one by alternating large-star and small-star rounds, which need
-    about log² rounds and no task that sees a whole component.
+    `edges` has the `within` columns plus u and v. Alternating large-star and small-star
+    rounds run until nothing moves, about log² of them; no task sees a whole component.
     """
     within = within or []
     edges = cut_lineage(
         edges.where(F.col("u") != F.col("v"))
         .select(*within, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
-    if edges.limit(small_limit + 1).count() <= small_limit:
-        kind = edges.schema["u"].dataType.simpleString()
-        scope = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in edges.schema if f.name in within)
-        return edges.coalesce(1).mapInPandas(_union_find(within), f"{scope}node {kind}, component {kind}")
-
     before = _fingerprint(edges, within)
-    for _ in range(MAX_ROUNDS):
+    while before[0]:
         edges = cut_lineage(_star(_star(edges, within, large=True), within, large=False))
         now = _fingerprint(edges, within)
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     leaves = edges.select(*within, F.col("u").alias("node"), F.col("v").alias("component"))
     roots = edges.select(*within, F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return leaves.unionAll(roots)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.lineage import cut_lineage
 from gridloom.operators.cells import POSITION, border_background_color, erase_where, grid_sizes, is_counted
-from gridloom.operators.components import SMALL_GRAPH_EDGES, connected_components
+from gridloom.operators.components import connected_components
 
 # Side of the square tiles labelled inside one task: a bounded group whatever the grid's size.
 TILE = 64
@@ -56,7 +56,7 @@ def _tile_labels(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def label_regions(cells: DataFrame, by: str = "hex", small_limit: int = SMALL_GRAPH_EDGES) -> DataFrame:
+def label_regions(cells: DataFrame, by: str = "hex") -> DataFrame:
     """Region of every counted cell: (pattern_id, row_idx, col_idx, color, region_id).
 
     Regions are 4-connected cells of equal `by`; region_id is the number of the region's
@@ -80,7 +80,7 @@ def label_regions(cells: DataFrame, by: str = "hex", small_limit: int = SMALL_GR
         far = parts.where((F.col(axis) % TILE == 0) & (F.col(axis) > 0)).select("pattern_id", *POSITION, "color", F.col("part").alias("v"))
         return near.join(far, ["pattern_id", *POSITION, "color"]).select("pattern_id", "u", "v")
 
-    roots = connected_components(across("row_idx").unionAll(across("col_idx")), ["pattern_id"], small_limit)
+    roots = connected_components(across("row_idx").unionAll(across("col_idx")), ["pattern_id"])
     roots = roots.select("pattern_id", F.col("node").alias("part"), "component")
     return parts.join(roots, ["pattern_id", "part"], "left").select(
         "pattern_id", *POSITION, "color", F.coalesce("component", "part").alias("region_id")

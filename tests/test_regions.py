@@ -43,14 +43,12 @@ def noise(height, width, seed):
 
 
 @pytest.mark.parametrize("lines", [noise(150, 90, 1), serpentine(80, 70), ["aba"], ["a", "a", "b"], ["..", ".."], ["aaa", "aba", "a.a"]])
-@pytest.mark.parametrize("small_limit", [10**6, 0])
-def test_regions_match_flood_fill(spark, lines, small_limit):
-    labels = regions.label_regions(grid(spark, " ".join(lines)), "hex", small_limit)
+def test_regions_match_flood_fill(spark, lines):
+    labels = regions.label_regions(grid(spark, " ".join(lines)))
     assert {(r.row_idx, r.col_idx): r.region_id for r in labels.collect()} == flood(lines)
 
 
-@pytest.mark.parametrize("small_limit", [10**6, 0])
-def test_components_match_union_find(spark, small_limit):
+def test_components_match_union_find(spark):
     rnd = random.Random(3)
     pairs = [(s, rnd.randrange(60), rnd.randrange(60)) for s in (1, 2) for _ in range(35)] + [(3, i, i + 1) for i in range(50)]
     parent = {}
@@ -66,7 +64,7 @@ def test_components_match_union_find(spark, small_limit):
             parent[y] = x
     want = {n: root(n)[1] for n in parent}
     edges = spark.createDataFrame(pairs, "scope int, u bigint, v bigint")
-    got = connected_components(edges, ["scope"], small_limit)
+    got = connected_components(edges, ["scope"])
     assert {(r.scope, r.node): r.component for r in got.collect()} == want
 
 
