@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import quality
+from gridloom.llm import decontaminate, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op3_quality_rules")
 def op3_quality_rules(spark, d):
     return quality.quality_rules(table(spark, d, "documents"))
+
+
+@query("op4_simhash_near_dedup")
+def op4_simhash_near_dedup(spark, d):
+    return simhash.near_duplicates(table(spark, d, "documents"))
+
+
+@query("op1_benchmark_decontamination")
+def op1_benchmark_decontamination(spark, d):
+    return decontaminate.decontamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
