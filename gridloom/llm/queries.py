@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, quality, simhash
+from gridloom.llm import decontaminate, pii, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +39,8 @@ def op4_simhash_near_dedup(spark, d):
 @query("op1_benchmark_decontamination")
 def op1_benchmark_decontamination(spark, d):
     return decontaminate.decontamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op2_pii_candidate_boosting")
+def op2_pii_candidate_boosting(spark, d):
+    return pii.personal_data(table(spark, d, "documents"))
