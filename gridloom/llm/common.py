@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: names that cannot clash, scratch tables, checked broadcasts, blocked ranks."""
+"""Helpers shared by the operators: names that cannot clash, scratch tables, checked broadcasts, ranks."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from gridloom.lineage import scratch_path
 
 SPACES = " \t\n\x0b\x0c\r"
-#: Rows that one window partition should hold when positions are counted.
-RANK_ROWS = 50_000
+#: Rows that one sorted range should hold when positions are counted.
+RANK_ROWS = 500_000
 
 
 def free_name(taken: list[str], stem: str) -> str:
@@ -39,18 +39,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[Column], spread: Column, out: str, rows: int) -> DataFrame:
-    """Adds `out`: a gapless position from 0 within `keys`.
+def ranked(df: DataFrame, keys: list[str], order: list[Column], out: str, rows: int) -> DataFrame:
+    """Adds `out`: a gapless position from 0 within `keys` (not null) in the total order `order`. `df` has `rows` rows.
 
-    Rows are cut by `spread` (a hash of the row) into about `rows / RANK_ROWS` parts; a window ranks each part by
-    `order` and the parts' counts, summed before the shuffle, shift it. So a key with most rows is many small windows.
+    One shuffle deals the rows into ranges of (keys, order), so a key with most rows is many ranges. A row's place in
+    its sorted range, less the range's first place of the key, is shifted by the key's rows in earlier ranges; those
+    counts are at most one row per key and range.
     """
-    part, n, start = (free_name(df.columns, s) for s in ("part_no", "part_rows", "part_start"))
-    parts = max(1, math.ceil(rows / RANK_ROWS))
-    cut = df.withColumn(part, F.pmod(spread, F.lit(parts)).cast("int"))
+    place, part, first, n = (free_name([*df.columns, out], s) for s in ("sorted_place", "range_no", "range_first", "range_rows"))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / RANK_ROWS))
+    by = [*[F.col(k) for k in keys], *order]
+    dealt = df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn(place, F.monotonically_increasing_id())
+    dealt = written(dealt.withColumn(part, F.shiftright(place, 33)), "ranges")
     earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut.groupBy(*keys, part).agg(F.count(F.lit(1)).alias(n))
-    starts = starts.select(*keys, part, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(start))
-    inside = Window.partitionBy(*keys, part).orderBy(*order)
-    placed = cut.withColumn(out, F.row_number().over(inside) - 1)
-    return placed.join(starts, [*keys, part]).withColumn(out, (F.col(out) + F.col(start)).cast("long")).drop(part, start)
+    starts = dealt.groupBy(*keys, part).agg(F.min(place).alias(first), F.count(F.lit(1)).alias(n))
+    starts = starts.select(*keys, part, (F.coalesce(F.sum(n).over(earlier), F.lit(0)) - F.col(first)).alias(first))
+    return dealt.join(starts, [*keys, part]).withColumn(out, F.col(place) + F.col(first)).drop(part, place, first)

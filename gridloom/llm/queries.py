@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, pii, quality, simhash
+from gridloom.llm import decontaminate, packing, pii, quality, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,13 @@ def op1_benchmark_decontamination(spark, d):
 @query("op2_pii_candidate_boosting")
 def op2_pii_candidate_boosting(spark, d):
     return pii.personal_data(table(spark, d, "documents"))
+
+
+@query("op8_sharding")
+def op8_sharding(spark, d):
+    return sharding.sharded(table(spark, d, "documents"))
+
+
+@query("op9_packing")
+def op9_packing(spark, d):
+    return packing.packed(table(spark, d, "documents"))
