@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, packing, pii, quality, sharding, simhash
+from gridloom.llm import decontaminate, packing, pii, quality, sharding, simhash, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,19 @@ def op8_sharding(spark, d):
 @query("op9_packing")
 def op9_packing(spark, d):
     return packing.packed(table(spark, d, "documents"))
+
+
+LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op5_url_rules", f"""
+with rules(host, path, verdict) as (values {", ".join(f"('{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}')" for r, v in url_rules.RULES)}),
+rest as (select row_number() over () n, page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end r from pages),
+hosts as (select *, regexp_extract(r, '^[^/?#]*') h from rest),
+urls as (select n, page_id, {LOWERED.format('h')} host, regexp_extract(substr(r, length(h) + 1), '^[^?#]*') path from hosts),
+fits as (select u.n, r.host || r.path rule, r.verdict, row_number() over (partition by u.n order by length(r.host || r.path) desc, length(r.host) desc) k
+  from urls u join rules r on (u.host = r.host or ends_with(u.host, '.' || r.host)) and starts_with(u.path, r.path))
+select page_id, host, path, rule, coalesce(verdict, '{url_rules.DEFAULT}') verdict from urls left join (select * from fits where k = 1) using (n)
+""")
+def op5_url_rules(spark, d):
+    return url_rules.judged(table(spark, d, "pages"), url_rules.default_rules(spark))
