@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, packing, pii, quality, sharding, simhash, url_rules
+from gridloom.llm import decontaminate, html_text, packing, pii, quality, sharding, simhash, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,8 @@ select page_id, host, path, rule, coalesce(verdict, '{url_rules.DEFAULT}') verdi
 """)
 def op5_url_rules(spark, d):
     return url_rules.judged(table(spark, d, "pages"), url_rules.default_rules(spark))
+
+
+@query("op10_html_extraction")
+def op10_html_extraction(spark, d):
+    return html_text.main_text(table(spark, d, "pages"))
