@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, html_text, packing, pii, quality, sharding, simhash, url_rules
+from gridloom.llm import decontaminate, html_text, licenses, packing, pii, quality, sharding, simhash, token_counts, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,13 @@ def op5_url_rules(spark, d):
 @query("op10_html_extraction")
 def op10_html_extraction(spark, d):
     return html_text.main_text(table(spark, d, "pages"))
+
+
+@query("op6_license_scans", licenses.oracle_sql())
+def op6_license_scans(spark, d):
+    return licenses.scanned(table(spark, d, "documents"), licenses.default_known(spark))
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark, d):
+    return token_counts.counted(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
