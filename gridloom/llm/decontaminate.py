@@ -123,7 +123,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", out
     kept = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     each = None
     for k in range(parts):
-        one = _scanned(kept.select(row, text), text, read(k), size, "m").select(row, "m.*")
+        one = _scanned(kept.select(row, F.col(text).alias("scanned")), "scanned", read(k), size, "m").select(row, "m.*")
         each = one if each is None else each.unionByName(one)
     found = each.groupBy(row).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
 
@@ -167,5 +167,5 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFra
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, that are not contaminated."""
     row = free_name(docs.columns, "row")
-    packed = docs.select(F.struct("*").alias(row), F.col("text").alias("text"))
-    return contamination(packed, benchmark, out="found").where(~is_contaminated(F.col("found"))).select(f"{row}.*")
+    packed = docs.select(F.struct("*").alias(row))
+    return contamination(packed, benchmark, f"{row}.text", out="found").where(~is_contaminated(F.col("found"))).select(f"{row}.*")

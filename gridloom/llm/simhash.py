@@ -228,8 +228,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """`docs`, all columns, with one row of each component: that of the smallest doc_id (nulls last), any one if rows repeat."""
     row = free_name(docs.columns, "row")
-    packed = docs.select(F.struct("*").alias(row), F.col("text").alias("text"), F.monotonically_increasing_id().alias("row_no"), F.col("doc_id").alias("by_id"))
-    packed = written(fingerprints(packed).drop("text"), "fingerprinted")
+    packed = docs.select(F.struct("*").alias(row), F.monotonically_increasing_id().alias("row_no"), F.col("doc_id").alias("by_id"))
+    packed = written(fingerprints(packed, f"{row}.text"), "fingerprinted")
     first = F.min(F.struct(F.col("by_id").isNull().alias("last"), "by_id", "row_no"))
     top = components(packed.select("fp", "by_id", "row_no"), [first], ["first"])
     kept = top.select(F.col("first.row_no").alias("row_no")).distinct()
