@@ -31,6 +31,7 @@ def _covered(at: Column) -> Column:
 
 def measured(docs: DataFrame, text: str = "text", out: str = "quality") -> DataFrame:
     """Adds the struct `out` of the base counts and the number of lines with a word. Null texts have no words.
+    Write the result before filtering by it: a filter pushed below the steps would repeat them.
 
     Repeated windows: the low bits of each window's hash are replaced by its place, the numbers sorted, and equal
     neighbours compared word by word. If two different windows share the hash bits, whole windows are sorted instead,
