@@ -100,20 +100,35 @@ def _to_cells(matched: DataFrame) -> DataFrame:
     )
 
 
-def color_leaders(cells: DataFrame, palette: DataFrame, threshold: float) -> DataFrame:
+def _entries(cells: DataFrame, palette: DataFrame, image_palettes: DataFrame | None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Cells and palette with the columns that join them, one palette row for each.
+
+    With `image_palettes` (image_id, palette_name) every image uses its own palette. Without, a key means one colour,
+    and of several palettes that have it the first counts.
+    """
+    if image_palettes is None:
+        rest = [c for c in palette.columns if c != "color_key"]
+        one = palette.groupBy("color_key").agg(F.min(F.struct(*sorted(rest, key=lambda c: (c != "palette_name", c)))).alias("_p"))
+        return cells, one.select("color_key", "_p.*"), ["color_key"]
+    named = image_palettes.select(F.col("image_id").alias("pattern_id"), "palette_name").distinct()
+    return cells.join(lookup_side(named), "pattern_id", "left"), palette, ["palette_name", "color_key"]
+
+
+def color_leaders(cells: DataFrame, palette: DataFrame, threshold: float, image_palettes: DataFrame | None = None) -> DataFrame:
     """For every colour of a pattern the colour that stands for it: (pattern_id, color_key, leader).
 
     Colours are taken by falling count, ties in scan order. Each joins the first earlier
     colour that still stands and is strictly closer than `threshold`, else it stands
     itself. Only the pattern's counted colours are folded, at most one per palette entry.
     """
+    cells, palette, on = _entries(cells, palette, image_palettes)
     used = cells.where(~F.col("is_external") & (F.col("color_key") != ERASE_KEY))
-    counts = used.groupBy("pattern_id", "color_key").agg(
+    counts = used.groupBy("pattern_id", *on).agg(
         F.count(F.lit(1)).alias("_n"), F.min(F.struct("row_idx", "col_idx")).alias("_seen")
     )
-    lab = palette.select("color_key", colors.rgb_to_oklab(F.col("r"), F.col("g"), F.col("b")).alias("at"))
+    lab = palette.select(*on, colors.rgb_to_oklab(F.col("r"), F.col("g"), F.col("b")).alias("at"))
     ranked = (
-        counts.join(lookup_side(lab), "color_key")
+        counts.join(lookup_side(lab), on)
         .groupBy("pattern_id")
         .agg(F.sort_array(F.collect_list(F.struct((-F.col("_n")).alias("n"), "_seen", "color_key", "at"))).alias("_colors"))
     )
@@ -132,11 +147,17 @@ def color_leaders(cells: DataFrame, palette: DataFrame, threshold: float) -> Dat
     )
 
 
-def merge_similar_colors(cells: DataFrame, palette: DataFrame, threshold: float = 30.0) -> DataFrame:
-    """Replace every colour by its leader; positions play no role."""
-    moved = color_leaders(cells, palette, threshold).where("leader <> color_key")
-    hexes = lookup_side(palette.select(F.col("color_key").alias("leader"), F.col("hex").alias("_hex")))
-    swap = moved.join(hexes, "leader")
+def merge_similar_colors(cells: DataFrame, palette: DataFrame, threshold: float = 30.0, image_palettes: DataFrame | None = None) -> DataFrame:
+    """Replace every colour by its leader, within each image's own palette if `image_palettes` is given.
+
+    Positions play no role, and every cell stays one row.
+    """
+    moved = color_leaders(cells, palette, threshold, image_palettes).where("leader <> color_key")
+    if image_palettes is not None:
+        moved = moved.join(image_palettes.select(F.col("image_id").alias("pattern_id"), "palette_name").distinct(), "pattern_id")
+    _, entries, on = _entries(cells, palette, image_palettes)
+    hexes = entries.select(*on, F.col("hex").alias("_hex")).withColumnRenamed("color_key", "leader")
+    swap = moved.join(lookup_side(hexes), [*on[:-1], "leader"]).select("pattern_id", "color_key", "leader", "_hex")
     joined = cells.join(swap, ["pattern_id", "color_key"], "left")
     return joined.select(
         "pattern_id", "row_idx", "col_idx",

@@ -155,7 +155,7 @@ def _inventory(spark, d):
     heads, rows = lq.transactions(spark, d)
     path = scratch_path(spark, "inventory")
     documents.write_inventory(
-        houses, raw, heads.withColumn("type", F.lit("manual_adjustment")),
+        houses, raw, heads.withColumns({"type": F.lit("manual_adjustment"), "note": F.concat(F.lit("entry "), "txn_id")}),
         rows.select("txn_id", "color_key", F.lit("#000000").alias("hex"), "delta", F.lit(0).cast("bigint").alias("before"), F.col("delta").alias("after")), path,
     )
     return documents.read_inventory(spark, f"{path}/*", multi_line=False)
@@ -176,11 +176,11 @@ def read_inventory_warehouses(spark, d):
 
 
 @query("read_inventory_entries", """
-select t.warehouse_id::varchar warehouse_id, 'manual_adjustment' "type", e.color_key, cast(sum(delta) as bigint) delta, count(*) n from fx_txns t join fx_txn_entries e using (txn_id) group by 1,2,3
+select t.warehouse_id::varchar warehouse_id, t.seq, 'manual_adjustment' "type", 'entry '||t.txn_id note, e.color_key, delta from fx_txns t join fx_txn_entries e using (txn_id)
 """)
 def read_inventory_entries(spark, d):
     _, _, txns, entries = _inventory(spark, d)
-    return txns.join(entries, "txn_id").groupBy("warehouse_id", "type", "color_key").agg(F.sum("delta").alias("delta"), F.count(F.lit(1)).alias("n"))
+    return txns.join(entries, "txn_id").select("warehouse_id", "seq", "type", "note", "color_key", "delta")
 
 
 def _projects(spark, d):
@@ -281,7 +281,7 @@ def legend_results_round_trip(spark, d):
 
 @query("manifest_round_trip", """
 with g as (select min(event_id) leader, user_id, count(*) n from events group by user_id), k as (select *, row_number() over (order by leader) gi from g)
-select 'group_'||lpad(cast(gi as varchar),3,'0') group_id, 'Image'||gi group_name, n as "count", case when n>1 then 'group_folder' else 'root_file' end placement, 'f'||event_id source, event_id size, event_id*3 mtime_ns, 'detail_page' page_type, event_type pair_key
+select printf('group_%03d', gi) group_id, 'Image'||gi group_name, n as "count", case when n>1 then 'group_folder' else 'root_file' end placement, 'f'||event_id source, event_id size, event_id*3 mtime_ns, 'detail_page' page_type, event_type pair_key
   from events join k using (user_id)
 """)
 def manifest_round_trip(spark, d):

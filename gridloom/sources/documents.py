@@ -16,7 +16,7 @@ INVENTORY_SCHEMA = """
 schemaVersion int,
 warehouses array<struct<id:string,name:string,brand:string,paletteName:string,createdAt:string,updatedAt:string,
   items:array<struct<hex:string,colorKey:string,ownedCount:string,sourcePaletteName:string,isExtraColor:boolean,updatedAt:string>>>>,
-transactions array<struct<id:string,warehouseId:string,type:string,createdAt:string,note:string,
+transactions array<struct<id:string,seq:bigint,warehouseId:string,type:string,createdAt:string,note:string,
   items:array<struct<hex:string,colorKey:string,delta:bigint,before:bigint,after:bigint>>>>
 """
 
@@ -50,10 +50,11 @@ def read_inventory(spark: SparkSession, path: str, multi_line: bool = True) -> t
         F.upper(_or("_i.hex", DEFAULT_HEX)).alias("hex"), owned.cast("bigint").alias("owned"),
         F.coalesce("_i.isExtraColor", F.lit(False)).alias("is_extra"),
     )
-    moves = docs.select(F.posexplode("transactions").alias("seq", "_t"))
+    moves = docs.select(F.posexplode("transactions").alias("_pos", "_t"))
     transactions = moves.select(
         F.col("_t.id").alias("txn_id"), F.col("_t.warehouseId").alias("warehouse_id"), F.col("_t.type").alias("type"),
-        F.col("seq").cast("bigint").alias("seq"), F.col("_t.createdAt").try_cast("timestamp").alias("created_at"), F.col("_t.note").alias("note"),
+        # documents from elsewhere have no numbers; their order is that of the file
+        F.coalesce("_t.seq", F.col("_pos").cast("bigint")).alias("seq"), F.col("_t.createdAt").try_cast("timestamp").alias("created_at"), F.col("_t.note").alias("note"),
     )
     entries = moves.select(F.col("_t.id").alias("txn_id"), F.explode("_t.items").alias("_e")).select(
         "txn_id", F.col("_e.colorKey").alias("color_key"), F.col("_e.hex").alias("hex"), "_e.delta", "_e.before", "_e.after"
@@ -61,17 +62,29 @@ def read_inventory(spark: SparkSession, path: str, multi_line: bool = True) -> t
     return warehouses, items, transactions, entries
 
 
+def _optional(df: DataFrame, name: str, moment: bool = False) -> Column:
+    """A column that may be missing; moments with microseconds and zone, so that they read back equal."""
+    if name not in df.columns:
+        return F.lit(None).cast("string")
+    return F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX") if moment else F.col(name)
+
+
 def write_inventory(warehouses: DataFrame, items: DataFrame, transactions: DataFrame, entries: DataFrame, path: str) -> None:
-    """Inventory documents, one JSON line per warehouse and per block of 1000 transactions."""
+    """Inventory documents, one JSON line per warehouse and per block of 1000 transactions.
+
+    Sequence numbers are written, so the order of the ledger survives; created_at, updated_at and note are optional.
+    """
     stock = F.struct("hex", F.col("color_key").alias("colorKey"), F.col("owned").cast("string").alias("ownedCount"), F.col("is_extra").alias("isExtraColor"))
     nested = items.groupBy("warehouse_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("item_idx", stock.alias("i")))), lambda x: x["i"]).alias("items")
     )
-    house = F.struct(F.col("warehouse_id").cast("string").alias("id"), "name", F.col("palette_name").alias("paletteName"), "items")
+    house = F.struct(F.col("warehouse_id").cast("string").alias("id"), "name", F.col("palette_name").alias("paletteName"),
+                     _optional(warehouses, "created_at", True).alias("createdAt"), _optional(warehouses, "updated_at", True).alias("updatedAt"), "items")
     first = warehouses.join(nested, "warehouse_id", "left").select(F.array(house).alias("warehouses"))
     move = F.struct("hex", F.col("color_key").alias("colorKey"), "delta", "before", "after")
     rows = entries.groupBy("txn_id").agg(F.collect_list(move).alias("items"))
-    txn = F.struct(F.col("txn_id").cast("string").alias("id"), F.col("warehouse_id").cast("string").alias("warehouseId"), "type", "items")
+    txn = F.struct(F.col("txn_id").cast("string").alias("id"), "seq", F.col("warehouse_id").cast("string").alias("warehouseId"), "type",
+                   _optional(transactions, "created_at", True).alias("createdAt"), _optional(transactions, "note").alias("note"), "items")
     second = transactions.join(rows, "txn_id", "left").groupBy(F.floor(F.col("seq") / 1000).alias("_b")).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("seq", txn.alias("t")))), lambda x: x["t"]).alias("transactions")
     ).drop("_b")
@@ -193,7 +206,7 @@ def write_manifest(manifest: DataFrame, items: DataFrame, path: str) -> None:
     blocks = items.groupBy("group_idx", F.floor(F.col("item_idx") / 1000).alias("_b")).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("item_idx", item.alias("i")))), lambda x: x["i"]).alias("items")
     )
-    name = F.concat(F.lit("group_"), F.lpad(F.col("group_idx").cast("string"), 3, "0"))
+    name = F.format_string("group_%03d", "group_idx")
     manifest.join(blocks, "group_idx").select(
         name.alias("id"), F.concat(F.lit("Image"), "group_idx").alias("groupName"), "count", "placement", "items"
     ).write.json(path)

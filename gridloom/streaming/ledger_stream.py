@@ -1,41 +1,91 @@
-"""Stock events as a stream: append-only ledger rows to current balances."""
+"""Stock events as a stream: append-only ledger rows to current balances, however late they come."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.lineage import cut_lineage
+
 KEYS = ["warehouse_id", "color_key"]
+#: Parts of the balance table; a micro-batch rewrites only those it changes.
+BUCKETS = 8
+
 
+def unique_events(events: DataFrame) -> DataFrame:
+    """Ledger events with repeated deliveries of an event_id dropped.
 
-def unique_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Ledger events with repeated deliveries of an event_id dropped; state is kept for `delay`."""
-    return events.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["event_id"])
+    There is no watermark: an event counts however late it comes, so the ids stay in the state store, which is
+    partitioned by id and kept beside the checkpoint.
+    """
+    return events.dropDuplicates(["event_id"])
 
 
-def balances(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+def balances(events: DataFrame) -> DataFrame:
     """Running balance per warehouse and colour; use with update mode."""
-    return unique_events(events, delay).groupBy(*KEYS).agg(F.sum("delta").alias("balance"), F.max("seq").alias("last_seq"))
+    return unique_events(events).groupBy(*KEYS).agg(F.sum("delta").alias("balance"), F.max("seq").alias("last_seq"))
+
+
+def _filesystem(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _latest(spark: SparkSession, path: str) -> dict[int, int]:
+    """Newest complete batch of each bucket, from folder names alone (at most two a bucket)."""
+    fs, at = _filesystem(spark, path)
+    newest: dict[int, int] = {}
+    if fs.exists(at):
+        for bucket in fs.listStatus(at):
+            name = bucket.getPath().getName()
+            if name.startswith("bucket="):
+                for batch in fs.listStatus(bucket.getPath()):
+                    done = spark._jvm.org.apache.hadoop.fs.Path(batch.getPath(), "_SUCCESS")
+                    if fs.exists(done):
+                        number = int(batch.getPath().getName().removeprefix("batch="))
+                        newest[int(name[7:])] = max(number, newest.get(int(name[7:]), -1))
+    return newest
+
+
+def _read(spark: SparkSession, path: str, newest: dict[int, int]) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(*[f"{path}/bucket={b}/batch={n}" for b, n in sorted(newest.items())])
 
 
 def current_balances(spark: SparkSession, path: str) -> DataFrame:
-    """Latest state of each balance from what `run_ledger_stream` wrote."""
-    versions = spark.read.parquet(path)
-    return versions.groupBy(*KEYS).agg(F.max_by(F.struct("balance", "last_seq"), "batch_id").alias("_b")).select(*KEYS, "_b.*")
+    """Balances from the table that `run_ledger_stream` keeps: one version of each bucket."""
+    newest = _latest(spark, path)
+    if not newest:
+        raise FileNotFoundError(f"no balances at {path}")
+    return _read(spark, path, newest).select(*KEYS, "balance", "last_seq")
 
 
-def run_ledger_stream(events: DataFrame, out: str, checkpoint: str, delay: str = "1 hour") -> None:
-    """Process all available events; every micro-batch writes the balances it changed.
+def run_ledger_stream(events: DataFrame, out: str, checkpoint: str, buckets: int = BUCKETS) -> None:
+    """Process all available events and merge the balances each micro-batch changes into the table at `out`.
 
-    A batch has its own folder, written over if the batch is tried again, so a restart
-    after a lost executor or driver counts nothing twice.
+    A changed bucket is written whole under the number of the batch; then its older versions are removed. Balances are
+    absolute, so a batch that is tried again after a lost executor or driver merges to the same table.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in KEYS]), F.lit(buckets)).cast("int")
+        changed = cut_lineage(batch.withColumn("bucket", bucket))
+        touched = sorted(r.bucket for r in changed.select("bucket").distinct().collect())  # at most `buckets`
+        newest = {b: n for b, n in _latest(spark, out).items() if b in touched}
+        merged = changed
+        if newest:
+            known = _read(spark, out, newest).drop("batch").withColumn("bucket", F.col("bucket").cast("int"))
+            same = [changed[k].eqNullSafe(known[k]) for k in KEYS]
+            merged = cut_lineage(known.join(changed, same, "left_anti").unionByName(changed))
+        for b in touched:  # a bucket is a share of the balances, not of the events
+            merged.where(F.col("bucket") == b).drop("bucket").write.mode("overwrite").parquet(f"{out}/bucket={b}/batch={batch_id}")
+            old = newest.get(b, batch_id)
+            if old != batch_id:
+                fs, at = _filesystem(spark, f"{out}/bucket={b}/batch={old}")
+                fs.delete(at, True)
 
     query = (
-        balances(events, delay).writeStream.outputMode("update").foreachBatch(upsert)
+        balances(events).writeStream.outputMode("update").foreachBatch(upsert)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()

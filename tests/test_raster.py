@@ -131,3 +131,14 @@ def test_exclusion_is_refused_when_no_colour_is_left(spark, rows):
 def test_preview_keeps_every_nth(spark):
     wide = grid(spark, "a" * 40)
     assert [r.col_idx for r in cell_ops.preview_grid(wide).orderBy("col_idx").collect()] == list(range(0, 40, 3))
+
+
+def test_merging_within_each_image_palette(spark):
+    """Keys mean different colours in different palettes, and every cell stays one row."""
+    entry = lambda name, ord_, key, r: (name, ord_, key, f"#{r:02X}0000", r, 0, 0)
+    palettes = spark.createDataFrame([entry("p", 0, "A", 250), entry("p", 1, "B", 240), entry("q", 0, "A", 250), entry("q", 1, "B", 10)], "palette_name string, ord int, color_key string, hex string, r int, g int, b int")
+    cells = spark.createDataFrame([(i, 0, c, k, "#000000", False) for i in (1, 2) for c, k in enumerate("AAB")], "pattern_id int, row_idx int, col_idx int, color_key string, hex string, is_external boolean")
+    named = spark.createDataFrame([(1, "p"), (2, "q")], "image_id int, palette_name string")
+    got = sorted((r.pattern_id, r.col_idx, r.color_key) for r in raster.merge_similar_colors(cells, palettes, 30.0, named).collect())
+    assert got == [(1, 0, "A"), (1, 1, "A"), (1, 2, "A"), (2, 0, "A"), (2, 1, "A"), (2, 2, "B")]
+    assert raster.merge_similar_colors(cells, palettes, 30.0).count() == 6

@@ -88,3 +88,19 @@ def test_images(spark, tmp_path, rows):
     found, skipped = images.read_images(spark, str(tmp_path))
     assert rows(images.image_pixels(found), "x", "y", "r", "g", "b", "a") == [(0, 0, 1, 2, 3, 255), (0, 1, 7, 8, 9, 255), (1, 0, 4, 5, 6, 255), (1, 1, 10, 11, 255, 255)]
     assert [r.image_id.rsplit("/", 1)[1] for r in skipped.collect()] == ["b.png"]
+
+
+def test_manifest_with_many_groups_and_a_ledger_with_many_transactions(spark, tmp_path):
+    plan = spark.range(1, 1203).selectExpr("cast(id as int) group_idx", "1L as count", "'root_file' placement")
+    items = spark.range(1, 1203).selectExpr("cast(id as int) group_idx", "0L item_idx", "'s' source", "id size", "id mtime_ns", "'p' page_type", "'k' pair_key")
+    documents.write_manifest(plan, items, str(tmp_path / "m"))
+    ids = {r.group_id for r in documents.read_manifest(spark, str(tmp_path / "m")).collect()}
+    assert len(ids) == 1202 and {"group_001", "group_999", "group_1202"} <= ids
+    houses = spark.sql("select 1 warehouse_id, 'n' name, '96' palette_name, timestamp'2024-01-02 03:04:05.678901' created_at")
+    stock = spark.sql("select 1 warehouse_id, 0 item_idx, '#AA0000' hex, 'A1' color_key, 3L owned, false is_extra")
+    txns = spark.range(3000).selectExpr("id txn_id", "1 warehouse_id", "id * 2 seq", "'manual_adjustment' type", "concat('n', id) note", "timestamp'2024-01-02 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) created_at")
+    moves = txns.selectExpr("txn_id", "'#AA0000' hex", "'A1' color_key", "1L delta", "0L before", "1L after")
+    documents.write_inventory(houses, stock, txns, moves, str(tmp_path / "i"))
+    read, _, back, _ = documents.read_inventory(spark, str(tmp_path / "i" / "*"), multi_line=False)
+    assert str(read.first().created_at) == "2024-01-02 03:04:05.678901"
+    assert sorted(map(tuple, back.selectExpr("cast(txn_id as bigint)", "seq", "note", "created_at").collect())) == sorted(map(tuple, txns.select("txn_id", "seq", "note", "created_at").collect()))

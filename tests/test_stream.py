@@ -21,3 +21,16 @@ def test_stream_counts_every_event_once_across_restarts(spark, tmp_path, rows):
     write(spark, source, [(2, 2, "w", "A", -2, "2024-01-01 00:01:00"), (3, 3, "w", "B", 4, "2024-01-01 00:02:00"), (4, 4, "w", "A", 10, "2024-01-01 00:03:00")])
     assert run() == [("w", "A", 13, 4), ("w", "B", 4, 3)]
     assert run() == [("w", "A", 13, 4), ("w", "B", 4, 3)]
+
+
+def test_late_and_repeated_events_count(spark, tmp_path, rows):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    want = {}
+    for n, (at, delta) in enumerate([("12:00", 10), ("08:00", 5), ("13:00", 1), ("01:00", 7)], 1):
+        write(spark, source, [(n, n, "w", "A", delta, f"2024-01-02 {at}:00"), (n, n, "w", "A", delta, f"2024-01-02 {at}:00"), (100 + n, n, f"w{n}", None, delta, "2023-01-01 00:00:00")])
+        ledger_stream.run_ledger_stream(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source), out, checkpoint)
+        want["w", "A"] = (want.get(("w", "A"), (0,))[0] + delta, n)
+        want[f"w{n}", None] = (delta, n)
+        assert rows(ledger_stream.current_balances(spark, out)) == sorted(((*k, *v) for k, v in want.items()), key=repr)
+    versions = [p for p in (tmp_path / "out").glob("bucket=*/batch=*")]
+    assert len(versions) == len({p.parent for p in versions})
