@@ -169,3 +169,22 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     row = free_name(docs.columns, "row")
     packed = docs.select(F.struct("*").alias(row))
     return contamination(packed, benchmark, f"{row}.text", out="found").where(~is_contaminated(F.col("found"))).select(f"{row}.*")
+
+
+def oracle_sql(size: int = WINDOW, share: int = SHARE) -> str:
+    """`decontamination` of `documents` by `benchmark` in SQL, without the lists of items and spans."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+')"
+    return f"""
+with items as (select item_id, {words} w from benchmark),
+item_windows as (select distinct cast(item_id as varchar) item, least(len(w), {size}) n, array_to_string(w[i : i + {size - 1}], ' ') x
+  from (select item_id, w, unnest(range(1, greatest(2, len(w) - {size - 2}))) i from items where len(w) > 0)),
+docs as (select row_number() over () r, doc_id, {words} w from documents),
+places as (select r, unnest(range(1, len(w) + 1)) i, unnest(w) word from docs),
+ahead as (select r, i, list(word) over (partition by r order by i rows between current row and {size - 1} following) l from places),
+spans as (select r, i, n, array_to_string(l[1:n], ' ') x from ahead join (select distinct n from item_windows) s on len(l) >= n),
+found as (select r, i, n, item from spans join item_windows using (n, x)),
+hit as (select r, count(distinct j) n from (select r, unnest(range(i, i + n)) j from found) group by r),
+named as (select r, count(distinct item) n, string_agg(distinct item, ',' order by item) s from found group by r)
+select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(hit.n, 0) as bigint) n_hit, cast(coalesce(named.n, 0) as bigint) n_items, sha256(coalesce(named.s, '')) items_sha256,
+  coalesce(hit.n, 0) > 0 and {share} * coalesce(hit.n, 0) >= len(w) contaminated
+from docs left join hit using (r) left join named using (r)"""

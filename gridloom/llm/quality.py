@@ -84,10 +84,11 @@ def sketches(stats: DataFrame, q: str = "quality", lang: str = "lang", source: s
 
 def fences(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """lang, source, and for each measure its fences, from the smallest level whose sketch holds `min_group` texts."""
-    levels = sketch.select("measure", "value", "n", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), a.alias("g_lang"), b.alias("g_source")) for i, (a, b) in enumerate(
-        [(F.col("lang"), F.col("source")), (F.col("lang"), F.lit(None).cast("string")), (F.lit(None).cast("string"), F.lit(None).cast("string"))])])).alias("g"))
+    none = F.lit(None).cast("string")
+    groups = [(F.col("lang"), F.col("source")), (F.col("lang"), none), (none, none)]
+    level = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), a.alias("g_lang"), b.alias("g_source")) for i, (a, b) in enumerate(groups)])).alias("g")
     keys = ["level", "g_lang", "g_source", "measure"]
-    merged = levels.groupBy("g.level", "g.g_lang", "g.g_source", "measure", "value").agg(F.sum("n").alias("n"))
+    merged = sketch.select("measure", "value", "n", level).groupBy("g.level", "g.g_lang", "g.g_source", "measure", "value").agg(F.sum("n").alias("n"))
     upto = Window.partitionBy(*keys).orderBy("value")
     spread = merged.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
     quartile = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("all"), F.col("value")))
@@ -95,16 +96,12 @@ def fences(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     widest = lambda k: F.greatest(FENCES[k][0] * (F.col("q3") - F.col("q1")), F.lit(FENCES[k][1]))
     high = [F.max(F.when(F.col("measure") == k, F.col("q3") + widest(k))).alias(f"max_{k}") for k in FENCES]
     low = [F.max(F.when(F.col("measure") == k, F.col("q1") - widest(k))).alias(f"min_{k}") for k in FENCES if FENCES[k][2]]
-    wide = cut.groupBy(*keys[:3]).agg(F.max("n").alias("n"), *high, *low)
-    limits = F.struct(F.col("n"), *[F.col(c) for c in wide.columns if c.startswith(("max_", "min_"))])
-    at = lambda i, name: wide.where((F.col("level") == i) & ((F.col("n") >= min_group) | F.lit(i == 2))).select("g_lang", "g_source", limits.alias(name))
-    groups = sketch.select("lang", "source").distinct()
-    own, by_lang, by_all = at(0, "own"), at(1, "by_lang"), at(2, "by_all").select("by_all")
-    groups = groups.join(own, F.col("lang").eqNullSafe(own["g_lang"]) & F.col("source").eqNullSafe(own["g_source"]), "left").select("lang", "source", "own")
-    groups = groups.join(by_lang, F.col("lang").eqNullSafe(by_lang["g_lang"]), "left").select("lang", "source", "own", "by_lang")
-    one = F.lit(1)
-    groups = groups.withColumn("one", one).join(F.broadcast(by_all.withColumn("one", one)), "one", "left")  # by_all is one row
-    return groups.select("lang", "source", F.coalesce("own", "by_lang", "by_all").alias("limits"))
+    wide = cut.groupBy(*keys[:3]).agg(F.max("n").alias("n"), *high, *low).where((F.col("n") >= min_group) | (F.col("level") == 2))
+    limits = F.struct(*[F.col(c) for c in wide.columns if c.startswith(("max_", "min_"))])
+    wanted = sketch.select("lang", "source").distinct().select("lang", "source", level).select("lang", "source", "g.*")
+    wide = wide.select(F.col("level").alias("w_level"), F.col("g_lang").alias("w_lang"), F.col("g_source").alias("w_source"), limits.alias("limits"))
+    same = (F.col("level") == F.col("w_level")) & F.col("g_lang").eqNullSafe(F.col("w_lang")) & F.col("g_source").eqNullSafe(F.col("w_source"))
+    return wanted.join(wide, same).groupBy("lang", "source").agg(F.min_by("limits", "level").alias("limits"))
 
 
 def judged(stats: DataFrame, q: str = "quality", lang: str = "lang", source: str = "source", min_group: int = MIN_GROUP, out: str = "kept") -> DataFrame:
@@ -144,3 +141,33 @@ def keep_good(docs: DataFrame) -> DataFrame:
     packed = docs.select(F.struct("*").alias(row), F.col("text").alias("text"), F.col("lang").alias(lang), F.col("source").alias(source))
     stats = written(measured(packed, "text", q).drop("text"), "measured")
     return judged(stats, q, lang, source, out=kept).where(F.col(kept)).select(f"{row}.*")
+
+
+def oracle_sql(min_group: int = MIN_GROUP) -> str:
+    """`quality_rules` over `documents` in SQL."""
+    word, space = r"[^\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
+    names = list(FENCES)
+    high = ", ".join(f"max(case when measure = '{k}' then q3 + greatest({FENCES[k][0]} * (q3 - q1), {FENCES[k][1]}) end) max_{k}" for k in names)
+    low = ", ".join(f"max(case when measure = '{k}' then q1 - greatest({FENCES[k][0]} * (q3 - q1), {FENCES[k][1]}) end) min_{k}" for k in names if FENCES[k][2])
+    inside = " and ".join([f"{k} <= max_{k}" for k in names] + [f"{k} >= min_{k}" for k in names if FENCES[k][2]])
+    return f"""
+with docs as (select row_number() over () r, doc_id, lang, source, coalesce(text, '') t from documents),
+split as (select *, regexp_extract_all(t, '{word}') w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{space}')) lines from docs),
+windows as (select r, i, count(*) over (partition by r, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) n from (select r, w, unnest(range(1, len(w) - 1)) i from split where len(w) >= 3)),
+hit as (select r, count(distinct i + k) n from windows, (values (0), (1), (2)) s(k) where n > 1 group by r),
+counted as (select s.r, doc_id, lang, source, cast(len(w) as bigint) n_words, cast(length(array_to_string(w, '')) as bigint) word_chars,
+  cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) n_dup_lines,
+  cast(coalesce(hit.n, 0) as bigint) n_repeat_words, len(lines) n_lines from split s left join hit using (r)),
+stats as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed, 100 * word_chars // greatest(n_words, 1) word_length, 1000 * n_symbols // greatest(n_words, 1) symbols,
+  1000 * n_dup_lines // greatest(n_lines, 1) dup_lines, 1000 * n_repeat_words // greatest(n_words, 1) repeats from counted),
+each as ({" union all ".join(f"select lang, source, '{k}' measure, {k} v from stats where not base_failed" for k in names)}),
+sketch as (select lang, source, measure, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) v, count(*) n from each group by all),
+levels as (select 0 level, lang, source, measure, v, n from sketch union all select 1, lang, null, measure, v, n from sketch union all select 2, null, null, measure, v, n from sketch),
+merged as (select level, lang, source, measure, v, sum(n) n from levels group by all),
+upto as (select *, sum(n) over (partition by level, lang, source, measure order by v) u, sum(n) over (partition by level, lang, source, measure) a from merged),
+cut as (select level, lang, source, measure, max(a) n, min(v) filter (4 * u >= a) q1, min(v) filter (4 * u >= 3 * a) q3 from upto group by all),
+wide as (select level, lang, source, max(n) n, {high}, {low} from cut group by all having max(n) >= {min_group} or level = 2),
+chosen as (select g.lang, g.source, w.* exclude (lang, source, n), row_number() over (partition by g.lang, g.source order by w.level) k from (select distinct lang, source from sketch) g
+  join wide w on (w.level = 2 or w.lang is not distinct from g.lang) and (w.level > 0 or w.source is not distinct from g.source))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce({inside}, false) kept
+from stats s left join (select * from chosen where k = 1) c on c.lang is not distinct from s.lang and c.source is not distinct from s.source"""
