@@ -33,9 +33,9 @@ def effective_edits(cells: DataFrame, edits: DataFrame) -> DataFrame:
     return log.join(base, CELL).where(changed).select(*CELL, "edit_seq", "color_key", "hex", "is_external")
 
 
-def undo_last(edits: DataFrame, steps: int) -> DataFrame:
-    """Drop the last `steps` edits of each pattern, never more than the history keeps."""
-    steps = min(steps, HISTORY_LIMIT)
+def undo_last(edits: DataFrame, steps: int, history: int | None = HISTORY_LIMIT) -> DataFrame:
+    """Drop the last `steps` edits of each pattern, never more than the `history` keeps (None: all)."""
+    steps = steps if history is None else min(steps, history)
     if steps <= 0:
         return edits
     latest = Window.partitionBy("pattern_id").orderBy(F.desc("edit_seq"))
@@ -46,9 +46,9 @@ def undo_last(edits: DataFrame, steps: int) -> DataFrame:
     return edits.join(cut, "pattern_id", "left").where(F.col("_cut").isNull() | (F.col("edit_seq") < F.col("_cut"))).drop("_cut")
 
 
-def apply_edits(cells: DataFrame, edits: DataFrame, undo: int = 0) -> DataFrame:
+def apply_edits(cells: DataFrame, edits: DataFrame, undo: int = 0, history: int | None = HISTORY_LIMIT) -> DataFrame:
     """Grid after the edit log, less the last `undo` effective steps; the last write per cell wins."""
-    kept = undo_last(effective_edits(cells, edits), undo)
+    kept = undo_last(effective_edits(cells, edits), undo, history)
     last = kept.groupBy(*CELL).agg(F.max_by(F.struct("color_key", "hex", "is_external"), "edit_seq").alias("_e"))
     return cells.join(last, CELL, "left").select(
         *CELL, *[F.coalesce(F.col(f"_e.{c}"), F.col(c)).alias(c) for c in ("color_key", "hex", "is_external")]

@@ -221,15 +221,18 @@ def fit_lattice(points: DataFrame, images: DataFrame, size: int) -> tuple[DataFr
 
 # --- the scored variant -----------------------------------------------------
 
-def top_candidates(points: DataFrame, limit: int = TOP_CANDIDATES) -> DataFrame:
+def top_candidates(points: DataFrame, limit: int | None = None) -> DataFrame:
     """The best-scored points per image, numbered in reading order (cand_idx) and by score (rank).
 
-    Two steps: every salted part of an image is cut to the limit before the parts meet.
+    Without a limit all points stay. With one, every salted part of an image is cut to it before the parts meet.
     """
     part = Window.partitionBy("image_id", "_salt").orderBy(F.desc("score"), "idx")
     whole = Window.partitionBy("image_id").orderBy(F.desc("score"), "idx")
-    cut = points.withColumn("_salt", F.pmod(F.xxhash64("idx"), F.lit(SALTS))).withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= limit)
-    ranked = cut.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= limit).drop("_salt", "_r")
+    if limit is None:
+        ranked = points.withColumn("rank", F.row_number().over(whole))
+    else:
+        cut = points.withColumn("_salt", F.pmod(F.xxhash64("idx"), F.lit(SALTS))).withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= limit)
+        ranked = cut.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= limit).drop("_salt", "_r")
     reading = Window.partitionBy("image_id").orderBy("y", "x", "rank")
     return ranked.withColumn("cand_idx", F.row_number().over(reading) - 1)
 
@@ -239,16 +242,20 @@ def _pitch_range(size: int) -> dict[str, Column]:
     return {"_min": F.greatest(F.lit(6.0), dim / max(20, size + 8)), "_max": F.least(F.lit(95.0), dim / 10.0)}
 
 
-def pitch_votes(candidates: DataFrame, images: DataFrame, size: int) -> DataFrame:
+def _best(candidates: DataFrame, limit: int | None) -> DataFrame:
+    return candidates if limit is None else candidates.where(F.col("rank") <= limit)
+
+
+def pitch_votes(candidates: DataFrame, images: DataFrame, size: int, voters: int | None = PITCH_POINTS) -> DataFrame:
     """(image_id, key, weight): half-pixel pitch bins voted for by distances and their eighths.
 
-    The 900 best points vote; weight 4 for a distance itself, 1.4 / sqrt(d) for its d-th part.
+    The `voters` best points vote (None: all); weight 4 for a distance itself, 1.4 / sqrt(d) for its d-th part.
     """
     spans = images.select("image_id", *[c.alias(n) for n, c in _pitch_range(size).items()])
     sizes = candidates.groupBy("image_id").agg(F.median("height").alias("_mh"), F.median("width").alias("_mw"))
     or8 = lambda c: F.when(F.coalesce(c, F.lit(0)) == 0, 8.0).otherwise(c)
     places = (
-        _weighted(candidates.where(F.col("rank") <= PITCH_POINTS)).join(spans, "image_id").join(sizes, "image_id")
+        _weighted(_best(candidates, voters)).join(spans, "image_id").join(sizes, "image_id")
         .withColumns({"_ny": F.greatest(F.lit(4.0), or8(F.col("_mh")) * 0.8), "_nx": F.greatest(F.lit(4.0), or8(F.col("_mw")) * 0.55)})
     )
     low, high = F.col("_min"), F.col("_max") * 8
@@ -260,9 +267,9 @@ def pitch_votes(candidates: DataFrame, images: DataFrame, size: int) -> DataFram
     ).agg(F.round(F.sum(weight * F.col("n")), 6).alias("weight"))
 
 
-def _short_pairs(candidates: DataFrame, spans: DataFrame, best: int) -> DataFrame:
+def _short_pairs(candidates: DataFrame, spans: DataFrame, best: int | None) -> DataFrame:
     """(image_id, d, off, n): distances along an axis up to a little over the largest pitch, with the offset across."""
-    places = _weighted(candidates.where(F.col("rank") <= best)).join(spans, "image_id")
+    places = _weighted(_best(candidates, best)).join(spans, "image_id")
     reach = F.col("_max") * 1.14 + 3
     wide = F.greatest(F.lit(5.0), F.col("_max") * 0.22)
     boxed = places.withColumns({"_reach": reach, "_wide": wide})
@@ -292,21 +299,31 @@ def _near_pitch(pairs: DataFrame, pitches: DataFrame, least: float, share: float
     return met.where((F.abs(F.col("d") - F.col("pitch")) <= F.col("_tol")) & (F.col("off") <= F.greatest(F.lit(5.0), F.col("pitch") * 0.22)))
 
 
-def propose_pitches(candidates: DataFrame, images: DataFrame, size: int) -> DataFrame:
-    """(image_id, pitch, support, place): refined pitches by how many neighbours they explain, at most 80."""
+def propose_pitches(
+    candidates: DataFrame, images: DataFrame, size: int, voters: int | None = PITCH_POINTS, raw_pitches: int | None = PITCH_RAW,
+    supporters: int | None = SUPPORT_POINTS, kept: int | None = PITCH_KEPT,
+) -> DataFrame:
+    """(image_id, pitch, support, place): refined pitches by how many neighbours they explain.
+
+    The fit's own limits are the defaults: how many of the best points vote and support, how many pitches are refined
+    and kept. None lifts one.
+    """
     by_vote = Window.partitionBy("image_id").orderBy(F.desc("weight"), "key")
-    raw = pitch_votes(candidates, images, size).withColumn("_r", F.row_number().over(by_vote)).where(F.col("_r") <= PITCH_RAW)
+    raw = pitch_votes(candidates, images, size, voters)
+    if raw_pitches is not None:
+        raw = raw.withColumn("_r", F.row_number().over(by_vote)).where(F.col("_r") <= raw_pitches)
     raw = raw.select("image_id", (F.col("key") / 2.0).alias("pitch"))
     spans = images.select("image_id", *[c.alias(n) for n, c in _pitch_range(size).items()])
-    near = _near_pitch(_short_pairs(candidates, spans, PITCH_POINTS), raw, 2.0, 0.12)
+    near = _near_pitch(_short_pairs(candidates, spans, voters), raw, 2.0, 0.12)
     middle = near.groupBy("image_id", "pitch").agg(F.percentile("d", F.lit(0.5), F.col("n")).alias("_m"), F.sum("n").alias("_n"))
     refined = raw.join(middle, ["image_id", "pitch"], "left").select(
         "image_id", F.bround(F.when(F.col("_n") >= 3, F.col("_m")).otherwise(F.col("pitch")), 3).alias("pitch")
     ).distinct()
-    support = _near_pitch(_short_pairs(candidates, spans, SUPPORT_POINTS), refined, 2.2, 0.14).groupBy("image_id", "pitch").agg(F.sum("n").alias("support"))
+    support = _near_pitch(_short_pairs(candidates, spans, supporters), refined, 2.2, 0.14).groupBy("image_id", "pitch").agg(F.sum("n").alias("support"))
     order = Window.partitionBy("image_id").orderBy(F.desc("support"), "pitch")
     full = refined.join(support, ["image_id", "pitch"], "left").withColumn("support", F.coalesce("support", F.lit(0)))
-    return full.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PITCH_KEPT)
+    placed = full.withColumn("place", F.row_number().over(order))
+    return placed if kept is None else placed.where(F.col("place") <= kept)
 
 
 KEYS = ["image_id", "place"]
@@ -446,9 +463,9 @@ def score_lattice(candidates: DataFrame, offsets: DataFrame, images: DataFrame,
     )
 
 
-def fit_scored_lattice(points: DataFrame, images: DataFrame, size: int) -> DataFrame:
-    """Best-scored lattice per image, the earlier proposal on ties."""
-    candidates = cut_lineage(top_candidates(points))
+def fit_scored_lattice(points: DataFrame, images: DataFrame, size: int, limit: int | None = TOP_CANDIDATES) -> DataFrame:
+    """Best-scored lattice per image, the earlier proposal on ties, from its `limit` best points (None: all)."""
+    candidates = cut_lineage(top_candidates(points, limit))
     pitches = cut_lineage(propose_pitches(candidates, images, size))
     phases = cut_lineage(smoothed_phase(candidates, pitches))
     scored = score_lattice(candidates, choose_offset(candidates, phases, images, size), images, size)

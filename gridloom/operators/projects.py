@@ -198,3 +198,65 @@ def move_patterns(requests: DataFrame, members: DataFrame, now: Column) -> tuple
 def patterns_by_status(patterns: DataFrame) -> DataFrame:
     """Pattern counts per project, one column per state."""
     return patterns.groupBy("project_id").pivot("status", ["draft", "in_progress", "completed"]).agg(F.count(F.lit(1))).na.fill(0)
+
+
+# --- life cycle -------------------------------------------------------------
+
+def create_projects(requests: DataFrame, warehouses: DataFrame, projects: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """New projects of requests (project_id, name, warehouse_id), and violations (project_id, reason).
+
+    A project needs a name, an existing warehouse and an id of its own; it starts as a draft and keeps what its
+    warehouse is called now. Of several requests for one id none is carried out.
+    """
+    houses = warehouses.select("warehouse_id", F.col("name").alias("warehouse_name"), "brand", "palette_name")
+    known = projects.select("project_id").distinct().withColumn("_known", F.lit(True))
+    times = requests.groupBy("project_id").agg(F.count(F.lit(1)).alias("_times"))
+    title = keys.trim_all(F.col("name"))
+    asked = requests.select("project_id", title.alias("name"), "warehouse_id").join(houses, "warehouse_id", "left")
+    asked = asked.join(known, "project_id", "left").join(times, "project_id")
+    reason = (
+        F.when(F.coalesce("name", F.lit("")) == "", "empty_name").when(F.col("warehouse_name").isNull(), "unknown_warehouse")
+        .when(F.col("_known") | (F.col("_times") > 1), "id_taken")
+    )
+    checked = asked.withColumn("reason", reason)
+    created = checked.where("reason is null").select(
+        "project_id", "name", "warehouse_id", "warehouse_name", "brand", "palette_name", F.lit("draft").alias("status"),
+        now.alias("created_at"), now.alias("updated_at"),
+    )
+    return created, checked.where("reason is not null").select("project_id", "reason")
+
+
+def rename_projects(requests: DataFrame, projects: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Projects after requests (project_id, request_seq, name), and violations (project_id, request_seq, reason).
+
+    The last valid request of a project counts; others leave its name and time of change alone.
+    """
+    known = projects.select("project_id").distinct().withColumn("_known", F.lit(True))
+    asked = requests.select("project_id", "request_seq", keys.trim_all(F.col("name")).alias("name")).join(known, "project_id", "left")
+    reason = F.when(F.coalesce("name", F.lit("")) == "", "empty_name").when(F.col("_known").isNull(), "unknown_project")
+    checked = asked.withColumn("reason", reason)
+    last = checked.where("reason is null").groupBy("project_id").agg(F.max_by("name", "request_seq").alias("_name"))
+    renamed = projects.join(last, "project_id", "left").select(
+        *[
+            F.coalesce("_name", "name").alias(c) if c == "name" else F.when(F.col("_name").isNull(), F.col(c)).otherwise(now).alias(c) if c == "updated_at" else c
+            for c in projects.columns
+        ]
+    )
+    return renamed, checked.where("reason is not null").select("project_id", "request_seq", "reason")
+
+
+def delete_projects(
+    requests: DataFrame, projects: DataFrame, members: DataFrame, assignments: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Projects, members and assignments after requests (project_id, confirm_name), and violations.
+
+    A request must repeat the project's name. With a project go its members and the assignments of its patterns, which
+    are free for other projects then.
+    """
+    names = projects.select("project_id", F.col("name").alias("_name"), F.lit(True).alias("_known"))
+    asked = requests.select("project_id", "confirm_name").distinct().join(names, "project_id", "left")
+    reason = F.when(F.col("_known").isNull(), "unknown_project").when(~F.col("confirm_name").eqNullSafe(F.col("_name")), "name_mismatch")
+    checked = asked.withColumn("reason", reason)
+    gone = checked.where("reason is null").select("project_id").distinct()
+    left = lambda df: df.join(gone, "project_id", "left_anti").select(*df.columns)
+    return left(projects), left(members), left(assignments), checked.where("reason is not null").select("project_id", "reason")

@@ -326,15 +326,15 @@ def color_family_rollup(summary: DataFrame) -> DataFrame:
     """Cells per family and colour with family totals (NULL code) and pattern totals (NULL family)."""
     letters = F.upper(F.regexp_extract("color_key", r"^[A-Za-z]+", 0))
     family = F.when(F.col("color_key") == ERASE_KEY, USELESS_LABEL).when(letters != "", letters).otherwise("#")
-    return summary.withColumn("family", family).rollup("pattern_id", "family", "color_key").agg(
-        F.sum("count").alias("count")
-    ).where("pattern_id is not null")
+    levels = summary.withColumn("family", family).rollup("pattern_id", "family", "color_key")
+    # 7 marks the total over all patterns; a pattern without id is a pattern like others
+    return levels.agg(F.sum("count").alias("count"), F.grouping_id().alias("_level")).where("_level < 7").drop("_level")
 
 
-def review_cells(analyzed: DataFrame, sample: int = REVIEW_SAMPLE) -> DataFrame:
+def review_cells(analyzed: DataFrame, sample: int | None = REVIEW_SAMPLE, partial: bool = False) -> DataFrame:
     """Cells to look at per colour, most uncertain first; fully visible ones if there are any.
 
-    Useless cells form the group of the erase code. Ranking with the visible ones first
+    `sample` is the number per colour (None: all); `partial` keeps partly visible cells beside full ones. Useless cells form the group of the erase code. Ranking with the visible ones first
     keeps the row limit inside the window, which prunes before the shuffle.
     """
     normal = analyzed.where(~F.col("is_external")).withColumn("review_key", F.col("color_key"))
@@ -342,8 +342,10 @@ def review_cells(analyzed: DataFrame, sample: int = REVIEW_SAMPLE) -> DataFrame:
     full = (F.col("visibility") != "partial") & (F.coalesce("visible_ratio", F.lit(1.0)) >= FULLY_VISIBLE)
     order = Window.partitionBy("pattern_id", "review_key").orderBy(F.desc("_full"), F.desc("uncertainty"), *POSITION)
     top = normal.unionByName(useless).withColumn("_full", full).withColumn("review_rank", F.row_number().over(order)).where(
-        F.col("review_rank") <= sample
+        F.lit(True) if sample is None else F.col("review_rank") <= sample
     )
+    if partial:
+        return top.drop("_full")
     group = Window.partitionBy("pattern_id", "review_key")
     return top.withColumn("_any", F.bool_or("_full").over(group)).where(F.col("_full") | ~F.col("_any")).drop("_full", "_any")
 

@@ -79,3 +79,9 @@ select pattern_id, hex, cast(coalesce(n,0)+coalesce(delta,0) as bigint) "count"
 """)
 def counts_after_edits(spark, d):
     return ops.counts_after_edits(fx.cells(spark, d), edits(spark, d))
+
+
+@query("apply_edits_with_full_undo", _applied_sql(80))
+def apply_edits_with_full_undo(spark, d):
+    """A history that forgets nothing."""
+    return ops.apply_edits(fx.cells(spark, d), edits(spark, d), undo=80, history=None)

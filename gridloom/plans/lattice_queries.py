@@ -123,6 +123,14 @@ def top_candidates(spark, d):
     return ops.top_candidates(fx.text_centers(spark, d), 300).select("image_id", "idx", "rank", "cand_idx")
 
 
+@query("all_candidates", """
+with r as (select *, row_number() over (partition by image_id order by score desc, idx) rk from fx_text_centers)
+select image_id, idx, cast(rk as int) rank, cast(row_number() over (partition by image_id order by y, x, rk)-1 as int) cand_idx from r
+""")
+def all_candidates(spark, d):
+    return ops.top_candidates(fx.text_centers(spark, d)).select("image_id", "idx", "rank", "cand_idx")
+
+
 def sized_centers(spark, d):
     """Text centres with made-up glyph sizes and scores around 55."""
     i = F.col("idx")
@@ -141,13 +149,13 @@ with t as (select image_id, idx, x, y, idx%5+6 width, idx%3+9 height, score/20+i
 select image_id, round_even(pt*2,0)::bigint "key", round(sum(w),4) weight from v where pt>=mn and pt<=mx group by 1,2
 """)
 def pitch_votes(spark, d):
-    cands = ops.top_candidates(sized_centers(spark, d))
+    cands = ops.top_candidates(sized_centers(spark, d), ops.TOP_CANDIDATES)
     return ops.pitch_votes(cands, boards(spark, d), SIZE).withColumn("weight", F.round("weight", 4))
 
 
 @query("propose_pitches")
 def propose_pitches(spark, d):
-    cands = ops.top_candidates(sized_centers(spark, d))
+    cands = ops.top_candidates(sized_centers(spark, d), ops.TOP_CANDIDATES)
     return ops.propose_pitches(cands, boards(spark, d), SIZE)
 
 

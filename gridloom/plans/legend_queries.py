@@ -47,18 +47,18 @@ def tokens(spark, d):
 FIXTURE_SQL["fx_readings"] = """
 select l_orderkey group_id, l_linenumber, m.color_key match_key, m.hex match_hex, l_discount*100 match_distance,
        case when l_suppkey%23=0 then '空 白' when l_suppkey%29=0 then '全' when l_suppkey%3=0 then ' '||lower(i.color_key)||'.' when l_suppkey%7=0 then 'ZZ99' end inside_text
-  from lineitem join fx_palette m on m.ord=l_partkey%40 join fx_palette i on i.ord=l_suppkey%40
+  from lineitem join fx_palette m on m.ord=l_partkey%291 join fx_palette i on i.ord=l_suppkey%291
 """
 
 
 def readings(spark, d):
-    pal = fx.palette(spark, d).where("ord < 40")
+    pal = fx.palette(spark, d)
     match = ops.lookup_side(pal.select(F.col("ord").cast("bigint").alias("mo"), F.col("color_key").alias("match_key"), F.col("hex").alias("match_hex")))
     inside = ops.lookup_side(pal.select(F.col("ord").cast("bigint").alias("io"), F.lower("color_key").alias("ik")))
     s = F.col("l_suppkey")
     text = F.when(s % 23 == 0, "空 白").when(s % 29 == 0, "全").when(s % 3 == 0, F.concat(F.lit(" "), "ik", F.lit("."))).when(s % 7 == 0, "ZZ99")
     return (
-        fx.table(spark, d, "lineitem").withColumns({"mo": F.col("l_partkey") % 40, "io": s % 40})
+        fx.table(spark, d, "lineitem").withColumns({"mo": F.col("l_partkey") % 291, "io": s % 291})
         .join(match, "mo").join(inside, "io")
         .select(F.col("l_orderkey").alias("group_id"), "l_linenumber", "match_key", "match_hex", (F.col("l_discount") * 100).alias("match_distance"), text.alias("inside_text"))
     )

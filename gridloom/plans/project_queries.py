@@ -223,3 +223,95 @@ select project_id, count(*) filter (where status='draft') draft, count(*) filter
 """)
 def patterns_by_status(spark, d):
     return ops.patterns_by_status(fx.patterns(spark, d))
+
+
+# --- life cycle -------------------------------------------------------------
+
+def _created(spark, d):
+    k = F.col("s_suppkey")
+    title = F.when(k % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), "s_name", F.lit(" ")))
+    requests = fx.table(spark, d, "supplier").select((F.when(k % 7 == 0, 0).otherwise(1_000_000) + k).alias("project_id"), title.alias("name"), (k % 12).alias("warehouse_id"))
+    houses = fx.stock(spark, d).select("warehouse_id").distinct().select(
+        "warehouse_id", F.concat(F.lit("w"), "warehouse_id").alias("name"), F.lit("MARD").alias("brand"), F.lit("96").alias("palette_name"))
+    return ops.create_projects(requests, houses, projects(spark, d), F.lit("2030-01-01").cast("timestamp_ntz"))
+
+
+_CREATE = """
+with q as (select case when s_suppkey%7=0 then 0 else 1000000 end+s_suppkey project_id, case when s_suppkey%5=0 then '' else trim(s_name) end "name", s_suppkey%12 warehouse_id from supplier),
+ w as (select distinct warehouse_id from fx_stock),
+ c as (select q.*, case when q."name"='' then 'empty_name' when w.warehouse_id is null then 'unknown_warehouse' when p.c_custkey is not null then 'id_taken' end reason
+   from q left join w using (warehouse_id) left join customer p on p.c_custkey=q.project_id)
+"""
+
+
+@query("create_projects", _CREATE + """
+select project_id, "name", warehouse_id, 'w'||warehouse_id warehouse_name, 'MARD' brand, '96' palette_name, 'draft' status, timestamp '2030-01-01' created_at, timestamp '2030-01-01' updated_at from c where reason is null
+""")
+def create_projects(spark, d):
+    return _created(spark, d)[0]
+
+
+@query("create_project_violations", _CREATE + "select project_id, reason from c where reason is not null")
+def create_project_violations(spark, d):
+    return _created(spark, d)[1]
+
+
+def _renamed(spark, d):
+    """Two requests for every third project, empty ones and unknown ids among them."""
+    c = F.col("c_custkey")
+    asked = fx.table(spark, d, "customer").where(c % 3 == 0).select(
+        (c + F.when(c % 7 == 0, 1_000_000).otherwise(0)).alias("project_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("request_seq"), c)
+    title = F.when((c + F.col("request_seq")) % 2 == 0, " ").otherwise(F.concat(F.lit(" new "), c, F.lit("-"), "request_seq", F.lit(" ")))
+    return ops.rename_projects(asked.select("project_id", "request_seq", title.alias("name")), projects(spark, d), F.lit("2030-01-01").cast("timestamp_ntz"))
+
+
+_RENAME = """
+with q as (select c_custkey+case when c_custkey%7=0 then 1000000 else 0 end project_id, cast(i as int) request_seq, case when (c_custkey+i)%2=0 then '' else 'new '||c_custkey||'-'||i end t
+   from customer, (values (1),(2)) s(i) where c_custkey%3=0),
+ c as (select q.*, case when t='' then 'empty_name' when p.c_custkey is null then 'unknown_project' end reason from q left join customer p on p.c_custkey=q.project_id),
+ l as (select project_id, arg_max(t, request_seq) t from c where reason is null group by 1)
+"""
+
+
+@query("rename_projects", _RENAME + 'select c_custkey project_id, c_custkey%10 warehouse_id, coalesce(t,c_name) "name" from customer left join l on l.project_id=c_custkey')
+def rename_projects(spark, d):
+    return _renamed(spark, d)[0]
+
+
+@query("rename_violations", _RENAME + "select project_id, request_seq, reason from c where reason is not null")
+def rename_violations(spark, d):
+    return _renamed(spark, d)[1]
+
+
+def _deleted(spark, d):
+    c = F.col("c_custkey")
+    requests = fx.table(spark, d, "customer").where(c % 4 == 0).select(
+        (c + F.when(c % 20 == 0, 1_000_000).otherwise(0)).alias("project_id"), F.when(c % 8 == 0, F.col("c_name")).otherwise("x").alias("confirm_name"))
+    return ops.delete_projects(requests, projects(spark, d), members(spark, d), assignments(spark, d))
+
+
+_DELETE = """
+with q as (select c_custkey+case when c_custkey%20=0 then 1000000 else 0 end project_id, case when c_custkey%8=0 then c_name else 'x' end confirm from customer where c_custkey%4=0),
+ c as (select q.project_id, case when p.c_custkey is null then 'unknown_project' when confirm<>p.c_name then 'name_mismatch' end reason from q left join customer p on p.c_custkey=q.project_id),
+ gone as (select project_id from c where reason is null)
+"""
+
+
+@query("delete_projects", _DELETE + 'select c_custkey project_id, c_custkey%10 warehouse_id, c_name "name" from customer where c_custkey not in (select project_id from gone)')
+def delete_projects(spark, d):
+    return _deleted(spark, d)[0]
+
+
+@query("delete_projects_members", _DELETE + "select m.* from fx_members m where project_id not in (select project_id from gone)")
+def delete_projects_members(spark, d):
+    return _deleted(spark, d)[1]
+
+
+@query("delete_projects_assignments", _DELETE + "select a.* from fx_assignments a where project_id not in (select project_id from gone)")
+def delete_projects_assignments(spark, d):
+    return _deleted(spark, d)[2]
+
+
+@query("delete_project_violations", _DELETE + "select project_id, reason from c where reason is not null")
+def delete_project_violations(spark, d):
+    return _deleted(spark, d)[3]

@@ -29,7 +29,7 @@ _SUMMARY = """, dims as (select pattern_id, max(row_idx)+1 m, max(col_idx)+1 n f
  summ as (select pattern_id, color, region_id, count(*) size, cast(floor(avg(row_idx)) as bigint) center_row, cast(floor(avg(col_idx)) as bigint) center_col,
    bool_or(row_idx=0 or col_idx=0 or row_idx=m-1 or col_idx=n-1) touches_edge from reg join dims using (pattern_id) group by 1,2,3)
 """
-_COMPLETION = """, comp as (select pattern_id, color, region_id, bool_and((row_idx*7+col_idx)%5<3 and row_idx<40) all_done, bool_or((row_idx*7+col_idx)%5<3 and row_idx<40) any_done from reg group by 1,2,3)
+_COMPLETION = """, comp as (select pattern_id, color, region_id, bool_and((row_idx*7+col_idx)%5<3) all_done, bool_or((row_idx*7+col_idx)%5<3) any_done from reg group by 1,2,3)
 """
 
 
@@ -38,7 +38,7 @@ def labels(spark, d, by="hex"):
 
 
 def completed(spark, d):
-    return fx.cells(spark, d).where("(row_idx * 7 + col_idx) % 5 < 3 and row_idx < 40").select("pattern_id", "row_idx", "col_idx")
+    return fx.cells(spark, d).where("(row_idx * 7 + col_idx) % 5 < 3").select("pattern_id", "row_idx", "col_idx")
 
 
 @query("connected_regions", _REACH + "select pattern_id, row_idx, col_idx, color, region_id from reg")
@@ -116,8 +116,8 @@ def recommend_edge_region(spark, d):
 
 
 FIXTURE_SQL["fx_progress"] = """
-select pattern_id, hex, count(*) total, count(*) filter (where (row_idx*7+col_idx)%5<3 and row_idx<40) completed,
-       cast(floor(count(*) filter (where (row_idx*7+col_idx)%5<3 and row_idx<40)*100/count(*)+0.5) as bigint) percent,
+select pattern_id, hex, count(*) total, count(*) filter (where (row_idx*7+col_idx)%5<3) completed,
+       cast(floor(count(*) filter (where (row_idx*7+col_idx)%5<3)*100/count(*)+0.5) as bigint) percent,
        cast(row_number() over (partition by pattern_id order by min(row_idx*100000+col_idx))-1 as int) color_idx from fx_cells where not is_external group by 1,2
 """
 

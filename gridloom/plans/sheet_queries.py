@@ -244,7 +244,7 @@ def color_review_summary(spark, d):
 
 @query("color_family_rollup", """
 select pattern_id, family, color_key, cast(sum(cnt) as bigint) as "count" from (select *, case when color_key='ERASE' then '无用' else color_key[1] end family from fx_review_summary)
- group by rollup (pattern_id, family, color_key) having pattern_id is not null
+ group by rollup (pattern_id, family, color_key) having grouping_id(pattern_id, family, color_key)<7
 """)
 def color_family_rollup(spark, d):
     return ops.color_family_rollup(ops.color_review_summary(reviewed(spark, d)))
@@ -260,6 +260,16 @@ def review_cells(spark, d):
     return ops.review_cells(reviewed(spark, d)).select("pattern_id", "review_key", "row_idx", "col_idx", "uncertainty", "review_rank")
 
 
+@query("review_all_cells", f"""
+with u as (select *, color_key review_key from fx_reviewed where not is_external union all select *, 'ERASE' from fx_reviewed where {_USELESS}),
+ f as (select *, visibility<>'partial' and visible_ratio>=0.98 full_ from u)
+select pattern_id, review_key, row_idx, col_idx, uncertainty, cast(row_number() over (partition by pattern_id, review_key order by full_ desc, uncertainty desc, row_idx, col_idx) as int) review_rank from f
+""")
+def review_all_cells(spark, d):
+    """No sample, and partly visible cells after the full ones."""
+    return ops.review_cells(reviewed(spark, d), sample=None, partial=True).select("pattern_id", "review_key", "row_idx", "col_idx", "uncertainty", "review_rank")
+
+
 # Saved grids with planted mistakes: a wrong total, a missing cell, an empty code, a broken hex, a zero count.
 _BROKEN = """
 with c as (select pattern_id, row_idx, col_idx, is_external, case when pattern_id=2 and row_idx=3 and col_idx=3 then ' ' else color_key end color_key,
