@@ -464,7 +464,10 @@ def score_lattice(candidates: DataFrame, offsets: DataFrame, images: DataFrame,
 
 
 def fit_scored_lattice(points: DataFrame, images: DataFrame, size: int, limit: int | None = TOP_CANDIDATES) -> DataFrame:
-    """Best-scored lattice per image, the earlier proposal on ties, from its `limit` best points (None: all)."""
+    """Best-scored lattice per image, the earlier proposal on ties, from its `limit` best points (None: all).
+
+    Whatever the limit, pitches are proposed from the best of them only, within the bounds that `propose_pitches` has by default.
+    """
     candidates = cut_lineage(top_candidates(points, limit))
     pitches = cut_lineage(propose_pitches(candidates, images, size))
     phases = cut_lineage(smoothed_phase(candidates, pitches))
