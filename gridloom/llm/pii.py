@@ -1,14 +1,19 @@
 """Personal data by candidate boosting. DataFrame functions only.
 
 High-recall patterns propose overlapping spans. Fixed base rules keep some of them outright. The rest is scored by
-boosted trees over format and context features, fitted on a bounded sample of the candidates themselves: those that
-are base spans against those that touch none. A held-out fifth of the sample calibrates, per kind, the lowest score
-that still has the wanted precision. The fitted trees become one column expression, so texts are read once, no row
+boosted trees over format and context features. Labels do not come from the base patterns alone: outside base spans a
+proposal is right if its format is valid and it stands alone (a phone number without '+' also needs a word such as call
+before it), wrong if not; what has only a part of that has no label. Examples of a fixed-seed grammar are added, so that
+every form is known where the corpus has few. The trees are fitted on a bounded sample of distinct candidates, the same
+share for each kind and label; all other labelled candidates calibrate, per kind, the lowest score that still has the
+wanted precision. The fitted trees become one column expression, so texts are read once, no row
 is shuffled and nothing runs in Python.
 """
 
 from __future__ import annotations
 
+import random
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
@@ -29,19 +34,21 @@ BASE = {
 #: Wider proposals: written-out addresses, card numbers inside longer digit runs, national telephone formats.
 WIDE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[A-Za-z0-9-]{1,63}){1,8}",
-    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7})(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{13,19}|(?<![0-9]-)[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7})(?![0-9])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20.-]{1,2}[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
 }
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$"
 CONTEXT = r"mail|contact|kontakt|phone|tel\b|call|fax|mobil|address|host|server|\bip\b|card|visa|credit|account|konto|pay"
 CONTEXT_CHARS = 24
-#: Bound of the labelled sample the trees are fitted on, taken over all candidates in the order of a hash.
+#: Bound of the labelled sample the trees are fitted on, drawn from all distinct candidates by a hash.
 MAX_SAMPLE = 20_000
 TREES, DEPTH = 10, 3
-#: Precision that a kind's threshold must have on the held-out part, and the held-out rows it must rest on.
+#: Precision that a kind's threshold must have on the candidates not fitted on, and the distinct right ones it must rest on.
 PRECISION, LEAST_HELD_OUT = 0.99, 5
+#: Steps of the score by which the candidates not fitted on are counted.
+STEPS = 1000
 BLOCK = 256
-FEATURES = ["kind", "length", "digits", "luhn", "plus", "octets", "at", "breaks", "joined_before", "joined_after", "context", "distinct_digits"]
+FEATURES = ["kind", "length", "digits", "luhn", "plus", "octets", "at", "breaks", "joined_before", "joined_after", "context", "distinct_digits", "valid", "continued"]
 
 
 def _running_sums(values: str) -> str:
@@ -76,7 +83,8 @@ def _hits(df: DataFrame, text: str, patterns: dict[str, tuple[str, str]]) -> Dat
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds pii_base, an array of (start, kind, end), and pii_found, all proposals with their features and a label.
 
-    The label is 1 for a base span, 0 for a proposal that touches none, null for others. Null texts are empty.
+    The label is 1 for a base span, null for what else touches one, and for the rest as the evidence of format and
+    context has it. Null texts are empty.
     """
     df = docs.withColumn("pii_text", F.coalesce(F.col(text), F.lit("")))
     df = df.withColumn("pii_digits", F.rlike("pii_text", F.lit("[0-9]")))
@@ -99,6 +107,14 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     same = "exists(pii_base, b -> b.kind = x.kind and b.start = x.start and b.end = x.end)"
     touch = "exists(pii_base, b -> b.start < x.end and x.start < b.end)"
     one = lambda c: f"double({c})"
+    # a written-out address without a sentence's end in it, a card of 13 digits that starts with 4, a national number
+    right = f"""(case x.kind when {KINDS.index('email')} then contains(x.hit, '@') or x.hit rlike '[A-Za-z]{{2,24}}$' and not x.hit rlike '[.] '
+        when {KINDS.index('ip')} then x.hit rlike '{sql(OCTETS)}'
+        when {KINDS.index('card')} then length({d}) between 13 and 19 and (length({d}) > 13 or startswith({d}, '4')) and {_luhn(d)}
+        else startswith(x.hit, '+') and length({d}) between 10 and 15 or {d} rlike '^(?:[2-9][0-9]{{2}}[2-9][0-9]{{6}}|0[1-9][0-9]{{7,9}})$' end)"""
+    # a whole valid card number is one beside other digits too
+    joined = """(x.kind != 2 and (substring(pii_text, int(greatest(0L, x.start - 2)) + 1, int(least(2L, x.start))) rlike '[0-9][ .-]?$'
+        or x.kind > 1 and not startswith(x.hit, '+') and substring(pii_text, int(x.end) + 1, 2) rlike '^[ -]?[0-9]'))"""
     features = {
         "kind": one("x.kind"), "length": one("x.end - x.start"), "digits": one(f"length({d})"), "luhn": one(f"int(length({d}) >= 12 and length({d}) <= 19 and {_luhn(d)})"),
         "plus": one("int(startswith(x.hit, '+'))"), "octets": one(f"int(x.hit rlike '{sql(OCTETS)}')"), "at": one("int(contains(x.hit, '@'))"),
@@ -107,9 +123,12 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
         "joined_after": one("int(substring(pii_text, int(x.end) + 1, 1) rlike '[A-Za-z0-9]')"),
         "context": one(f"int(lower(substring(pii_text, int(greatest(0L, x.start - {CONTEXT_CHARS})) + 1, int(least({CONTEXT_CHARS}L, x.start)))) rlike '{sql(CONTEXT)}')"),
         "distinct_digits": one(f"size(array_distinct(split({d}, '')))"),
+        "valid": one(f"int({right})"), "continued": one(f"int({joined})"),
     }
+    sure = f"{right} and not {joined} and (x.kind != {KINDS.index('phone')} or startswith(x.hit, '+') or {features['context']} = 1)"
+    evidence = f"when {sure} then 1.0D when not {right} or {joined} then 0.0D else null"
     fields = ", ".join(f"{v} as f_{k}" for k, v in features.items())
-    df = df.withColumn("pii_found", F.expr(f"transform(pii_found, x -> struct(x.kind as kind, x.start as start, x.end as end, case when {same} then 1.0D when {touch} then null else 0.0D end as label, xxhash64(x.hit) as pick, {fields}))"))
+    df = df.withColumn("pii_found", F.expr(f"transform(pii_found, x -> struct(x.kind as kind, x.start as start, x.end as end, case when {same} then 1.0D when {touch} then null {evidence} end as label, xxhash64(x.hit) as pick, {fields}))"))
     return df.drop("pii_text", "pii_digits", *names)
 
 
@@ -141,25 +160,56 @@ class Model:
         return F.coalesce(self.margin(c) >= limit, F.lit(False))
 
 
+def grammar() -> list[str]:
+    """Texts with each form of each kind, right and wrong, from a fixed seed."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abdegiklmnorstu") for _ in range(rnd.randrange(3, 9)))
+    number = lambda n: str(rnd.randrange(10 ** (n - 1), 10**n))
+    area = lambda: str(rnd.randrange(200, 1000))
+    texts = []
+    for _ in range(40):
+        at, dot = rnd.choice([(" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), ("[at]", "(dot)")])
+        lead = rnd.choice(["call", "phone", "fax", "contact"])
+        texts += [f"{word()} {word()}{at}{word()}{dot}{rnd.choice(['com', 'org', 'net', 'de'])} {word()}", f"{word()} {word()} (at) {word()}. {word()} {word()}", f"{lead} ({area()}) {area()}-{number(4)} {word()}"]
+        texts += [f"{lead} {area()}-{area()}-{number(4)} {word()}", f"{word()} {number(4)} {number(4)} {number(4)} {number(4)} {word()}", f"{word()} 1{number(2)}-{number(3)}-{number(4)} {word()}", f"{lead} +{rnd.randrange(1, 99)} {area()} {area()} {number(4)} {word()}"]
+        card = "4" + number(11)
+        check = next(c for c in "0123456789" if sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate(reversed(card + c))) % 10 == 0)
+        texts += [f"card {card}{check} {word()}", f"{word()} {card}{(int(check) + 1 + rnd.randrange(9)) % 10} {word()}", f"{word()} {word()}@{word()}.org {rnd.randrange(256)}.{rnd.randrange(256)}.1.{rnd.randrange(256)} {number(3)}.{number(3)}.999.1 {word()}"]
+    return texts
+
+
+def _labelled(found: DataFrame) -> DataFrame:
+    return found.select(F.explode("pii_found").alias("c")).select("c.*").where(F.col("label").isNotNull())
+
+
 def fit(found: DataFrame, max_sample: int = MAX_SAMPLE) -> Model:
-    """Fits trees and thresholds on at most `max_sample` labelled candidates. Without both labels nothing is added."""
-    each = found.select(F.explode("pii_found").alias("c")).select("c.*").where(F.col("label").isNotNull())
+    """Fits trees on at most `max_sample` distinct labelled candidates and thresholds on all others. Without both labels nothing is added."""
+    spark = found.sparkSession
+    examples = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in grammar()])).alias("text"))
     columns = [f"f_{k}" for k in FEATURES]
-    # the same rows in the same order whatever the partitioning, so the fit is repeatable
     order = ["pick", "kind", "label", *columns]
-    sample = cut_lineage(each.select("pick", "kind", "label", *columns).orderBy(*order).limit(max_sample).coalesce(1))
-    held = F.pmod("pick", F.lit(5)) == 0
-    if sample.where(~held).agg(F.count_distinct("label")).first()[0] < 2:
+    each = _labelled(found).select(*order).unionByName(_labelled(candidates(examples)).select(*order))
+    each = written(each.groupBy(*order).agg(F.count(F.lit(1)).alias("n")), "pii-labelled")
+    strata = each.groupBy("kind", "label").count().collect()  # at most eight rows
+    share = F.lit(0.0)
+    for r in strata:
+        share = F.when((F.col("kind") == r["kind"]) & (F.col("label") == r["label"]), F.lit(max_sample / (2 * len(KINDS) * r["count"]))).otherwise(share)
+    fitted_on = (F.pmod("pick", F.lit(5)) != 0) & (F.pmod(F.xxhash64("pick", F.lit("draw")), F.lit(1_000_000)) < 1_000_000 * share)
+    # the same rows in the same order whatever the partitioning, so the fit is repeatable
+    sample = cut_lineage(each.where(fitted_on).orderBy(*order).limit(max_sample).coalesce(1))
+    if sample.agg(F.count_distinct("label")).first()[0] < 2:
         return Model([], {})
     vectors = VectorAssembler(inputCols=columns, outputCol="features")
-    fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, labelCol="label").fit(vectors.transform(sample.where(~held)).select("features", "label"))
+    fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, labelCol="label").fit(vectors.transform(sample).select("features", "label"))
     trees = [(float(w), t._call_java("rootNode")) for w, t in zip(fitted.treeWeights, fitted.trees)]
     model = Model(trees, {})
-    scored = sample.where(held).select("kind", "label", model.margin(F.struct(*columns)).alias("score"))
-    above = Window.partitionBy("kind").orderBy(F.col("score").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = scored.withColumn("right", F.sum("label").over(above)).withColumn("all", F.count(F.lit(1)).over(above))
-    good = upto.where((F.col("right") >= PRECISION * F.col("all")) & (F.col("right") >= LEAST_HELD_OUT))
-    model.thresholds = {r.kind: float(r.least) for r in good.groupBy("kind").agg(F.min("score").alias("least")).collect()}  # at most four rows
+    step = F.floor(model.margin(F.struct(*columns)) * STEPS).alias("step")
+    scored = each.where(~fitted_on).select("kind", "label", "n", step).groupBy("kind", "step")
+    scored = scored.agg(F.sum(F.col("label") * F.col("n")).alias("right"), F.sum("n").alias("all"), F.sum("label").alias("distinct"))
+    above = Window.partitionBy("kind").orderBy(F.col("step").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = scored.select("kind", "step", *[F.sum(c).over(above).alias(c) for c in ("right", "all", "distinct")])
+    good = upto.where((F.col("right") >= PRECISION * F.col("all")) & (F.col("distinct") >= LEAST_HELD_OUT))
+    model.thresholds = {r.kind: r.least / STEPS for r in good.groupBy("kind").agg(F.min("step").alias("least")).collect()}  # at most four rows
     return model
 
 
