@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, html_text, licenses, packing, pii, quality, sharding, simhash, token_counts, url_rules
+from gridloom.lineage import scratch_path
+from gridloom.llm import decontaminate, fill_middle, html_text, licenses, packing, pii, quality, sharding, simhash, token_counts, token_files, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +89,14 @@ def op6_license_scans(spark, d):
 @query("op7_token_counts")
 def op7_token_counts(spark, d):
     return token_counts.counted(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
+
+
+@query("op12_fill_in_middle", fill_middle.oracle_sql())
+def op12_fill_in_middle(spark, d):
+    return fill_middle.digests(table(spark, d, "documents"))
+
+
+@query("op13_token_files")
+def op13_token_files(spark, d):
+    files = token_files.write(table(spark, d, "documents"), scratch_path(spark, "token-files"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
