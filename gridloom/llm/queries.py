@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.lineage import scratch_path
-from gridloom.llm import decontaminate, fill_middle, html_text, licenses, packing, pii, quality, sharding, simhash, token_counts, token_files, url_rules
+from gridloom.llm import decontaminate, fill_middle, html_text, licenses, merkle, packing, pii, quality, sharding, simhash, token_counts, token_files, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,6 +91,11 @@ def op7_token_counts(spark, d):
     return token_counts.counted(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
 
 
+@query("op11_merkle_manifest", merkle.oracle_sql())
+def op11_merkle_manifest(spark, d):
+    return merkle.verified(table(spark, d, "documents"))
+
+
 @query("op12_fill_in_middle", fill_middle.oracle_sql())
 def op12_fill_in_middle(spark, d):
     return fill_middle.digests(table(spark, d, "documents"))
