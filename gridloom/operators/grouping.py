@@ -262,6 +262,17 @@ class _Growing:
         return self.data[: self.n]
 
 
+# What a match is worth; the least wins, and a pattern's distance is added.
+SCORES = {
+    "copy with another code": 0.1,
+    "detail colours in common": 0.25,
+    "summary beside its colours": 0.5,
+    "same code, alike": 1.25,
+    "same code, close by": 1.5,
+    "pattern alone": 2.0,
+}
+
+
 class _Component:
     """Groups of one component while its images arrive in order.
 
@@ -276,6 +287,7 @@ class _Component:
         self.last: list[int] = []
         self.keys: list[set] = []
         self.types: list[set] = []
+        self.details: list[set] = []
         self.by_key: dict[str, set] = {}
         self.prints: dict[int, tuple] = {}
         self.known: set[tuple[int, int]] = set()
@@ -317,35 +329,36 @@ class _Component:
 
         return mae, max(corr(self.prints[s][3]) for s in others)
 
-    def _score(self, g: int, item, dist) -> float | None:
-        same = bool(item.pair_key) and item.pair_key in self.keys[g]
-        near = item.order_idx - self.last[g] <= self.window
-        d = dist.get(g)
-        if item.pair_key and self.keys[g] and not same:
-            if d is not None and d[3]:
-                self._review("auto_merged_exact_fingerprint_pairKey_conflict", g, item)
-                return 0.1
-            return None
-        pattern = d is not None and d[0] <= self.limit and d[1] <= self.limit and d[2] <= HIST_LIMIT
+    def _rules(self, g: int, item, d, near: bool):
+        """(holds, score, review) in order; the first that holds decides, a score of None refuses the group."""
+        known, code, types, page = self.keys[g], item.pair_key, self.types[g], item.page_type
+        pattern = d is not None and max(d[0], d[1]) <= self.limit and d[2] <= HIST_LIMIT
         closeness = float(d[0] + d[1] + d[2] * 100.0) if pattern else None
-        if same:
-            types = self.types[g]
-            if item.page_type == MODAL and types == {MODAL}:
-                if near:
-                    self._review("same_pairKey_no_detail_overlap", g, item)
-                return None
-            if item.page_type == MODAL or MODAL in types:
-                meet = (item.page_type == SUMMARY and MODAL in types) or (item.page_type == MODAL and SUMMARY in types)
-                return 0.5 if near and meet else None
+        if code and known and code not in known:
+            yield d is not None and d[3], SCORES["copy with another code"], "auto_merged_exact_fingerprint_pairKey_conflict"
+            yield True, None, None
+        if code and code in known:
+            if page == MODAL and types == {MODAL}:
+                yield not self.details[g].isdisjoint(item.details), SCORES["detail colours in common"], None
+                yield near, None, "same_pairKey_no_detail_overlap"
+            if MODAL in types | {page}:
+                yield near and page in (MODAL, SUMMARY) and {page} | types >= {MODAL, SUMMARY}, SCORES["summary beside its colours"], None
+                yield True, None, None
             if d is not None:
-                if pattern:
-                    return closeness
+                yield pattern, closeness, None
                 mae, corr = self._visual(item.sig, g)
-                if corr >= VISUAL_CORR and mae <= VISUAL_MAE and d[2] <= VISUAL_HIST:
-                    return 1.25 + mae * 10.0
-                if near and item.page_type != DETAIL:
-                    return 1.5
-        return closeness + 2.0 if pattern else None
+                yield corr >= VISUAL_CORR and mae <= VISUAL_MAE and d[2] <= VISUAL_HIST, SCORES["same code, alike"] + mae * 10.0, None
+                yield near and page != DETAIL, SCORES["same code, close by"], None
+        yield pattern, SCORES["pattern alone"] + (closeness or 0.0), None
+
+    def _score(self, g: int, item, dist) -> float | None:
+        near = item.order_idx - self.last[g] <= self.window
+        for holds, score, review in self._rules(g, item, dist.get(g), near):
+            if holds:
+                if review:
+                    self._review(review, g, item)
+                return score
+        return None
 
     def _review(self, reason: str, g: int, item) -> None:
         self.reviews.append((reason, item.pair_key, self.leaders[g], self.sizes[g], item.order_idx))
@@ -373,6 +386,7 @@ class _Component:
             self.last.append(item.order_idx)
             self.keys.append(set())
             self.types.append(set())
+            self.details.append(set())
         else:
             g = best[1]
         self.sizes[g] += 1
@@ -381,6 +395,7 @@ class _Component:
             self.keys[g].add(item.pair_key)
             self.by_key.setdefault(item.pair_key, set()).add(g)
         self.types[g].add(item.page_type)
+        self.details[g].update(item.details)
         if item.has_image and (g, item.sig) not in self.known:
             self.known.add((g, item.sig))
             ph, dh, hist, _ = self.prints[item.sig]
@@ -422,16 +437,20 @@ def group_images(features: DataFrame, limit: int = HASH_LIMIT, window: int = LOC
     Groups: image_id, order_idx, leader (order of the group's first image), source.
     Reviews: reason, pair_key, leader, group_size (images in the group at that moment),
     order_idx. The result depends on the order inside a match component, so components are
-    the unit of parallel work. A component is streamed in order, never held whole: rows
+    the unit of parallel work. `detail_colors` (array of codes, may be left out) lets modal screenshots of one pair key
+    join where they share a code. A component is streamed in order, never held whole: rows
     carry a fingerprint number, the fingerprint itself comes with its first row only.
     """
-    parts = match_components(features, limit)
+    if "detail_colors" not in features.columns:
+        features = features.withColumn("detail_colors", F.array().cast("array<string>"))
+    codes = F.transform(F.coalesce("detail_colors", F.array().cast("array<string>")), lambda c: F.upper(F.trim(c)))
+    parts = match_components(features.withColumn("details", F.array_distinct(F.filter(codes, lambda c: c != ""))), limit)
     print_ = ["phash", "dhash", "color_hist", "thumb"]
     numbered = parts.withColumn("sig", F.xxhash64(*print_))
     first = numbered.where("has_image").groupBy("component", "sig").agg(F.min("order_idx").alias("_first"))
     sent = numbered.join(first, ["component", "sig"], "left").withColumn("_send", F.col("_first") == F.col("order_idx"))
     slim = sent.select(
-        "component", "order_idx", "page_type", "pair_key", "has_image", "sig", "phash", "dhash",
+        "component", "order_idx", "page_type", "pair_key", "has_image", "sig", "phash", "dhash", "details",
         *[F.when(F.col("_send"), F.col(c)).alias(c) for c in ("color_hist", "thumb")],
     )
     walked = slim.repartition("component").sortWithinPartitions("component", "order_idx").mapInPandas(
