@@ -22,14 +22,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 # --- palettes ---------------------------------------------------------------
 
+# Every part moves the colour of its class: the channels come from sums over all parts of the class.
 FIXTURE_SQL["fx_palette"] = """
-select cast(p_partkey%291 as int) ord,
-       concat(chr(cast(65 + p_partkey % 8 as int)), cast(cast(floor(p_partkey/8) as int)+1 as varchar)) color_key,
-       cast((p_partkey*37)%256 as int) r, cast((p_partkey*91+17)%256 as int) g,
-       cast((p_partkey*53+cast(floor(p_partkey/7) as bigint)*31+101)%256 as int) b,
-       printf('#%02X%02X%02X', (p_partkey*37)%256, (p_partkey*91+17)%256,
-              (p_partkey*53+cast(floor(p_partkey/7) as bigint)*31+101)%256) hex
-  from (select min(p_partkey) p_partkey from part group by p_partkey%291)
+select cast(ord as int) ord, concat(chr(cast(65 + ord % 8 as int)), cast(ord // 8 + 1 as varchar)) color_key,
+       cast(r as int) r, cast(g as int) g, cast(b as int) b, printf('#%02X%02X%02X', r, g, b) hex
+  from (select p_partkey%291 ord, cast(sum(p_partkey*37 + p_size*11)%256 as bigint) r, cast(sum(p_partkey*91 + p_size*29 + 17)%256 as bigint) g,
+               cast(sum(p_partkey*53 + p_partkey*p_size*31 + 101)%256 as bigint) b from part group by 1)
 """
 FIXTURE_SQL["fx_palette_sets"] = """
 select s.name palette_name, p.* from fx_palette p
@@ -96,21 +94,13 @@ def systems(spark: SparkSession, d: str) -> DataFrame:
 
 
 def palette(spark: SparkSession, d: str) -> DataFrame:
-    """Every part belongs to one of 291 colours, which the part with the smallest key gives."""
-    p = F.col("p_partkey")
-    channels = {
-        "r": (p * 37) % 256,
-        "g": (p * 91 + 17) % 256,
-        "b": (p * 53 + F.floor(p / 7) * 31 + 101) % 256,
-    }
-    return (
-        table(spark, d, "part").groupBy((p % PALETTE_SIZE).cast("int").alias("ord")).agg(F.min("p_partkey").alias("p_partkey"))
-        .select(
-            "ord",
-            F.concat(F.char(65 + p % 8), (F.floor(p / 8) + 1).cast("string")).alias("color_key"),
-            *[c.cast("int").alias(n) for n, c in channels.items()],
-            colors.rgb_to_hex(*channels.values()).alias("hex"),
-        )
+    """Every part belongs to one of 291 colours and moves its channels, which are sums over all parts of the colour."""
+    p, size = F.col("p_partkey"), F.col("p_size").cast("bigint")
+    parts = {"r": p * 37 + size * 11, "g": p * 91 + size * 29 + 17, "b": p * 53 + p * size * 31 + 101}
+    mixed = table(spark, d, "part").groupBy((p % PALETTE_SIZE).alias("ord")).agg(*[(F.sum(c) % 256).alias(n) for n, c in parts.items()])
+    return mixed.select(
+        F.col("ord").cast("int").alias("ord"), F.concat(F.char(65 + F.col("ord") % 8), (F.floor(F.col("ord") / 8) + 1).cast("string")).alias("color_key"),
+        *[F.col(n).cast("int").alias(n) for n in "rgb"], colors.rgb_to_hex(F.col("r"), F.col("g"), F.col("b")).alias("hex"),
     )
 
 
@@ -131,14 +121,14 @@ select label, cast(row_number() over (partition by label order by vec_id)-1 as i
 """
 FIXTURE_SQL["fx_pixels"] = """
 select label image_id, x, y, max(case when ch=0 then v end) r, max(case when ch=1 then v end) g,
-       max(case when ch=2 then v end) b, max(case when (x*7+y*3)%11=0 then 0 else 255 end) a
-from (select label, cast(floor(pos/3) as int) x, y, pos%3 ch,
+       max(case when ch=2 then v end) b, max(case when (x*7+y*3+tail)%11=0 then 0 else 255 end) a
+from (select label, cast(floor(pos/3) as int) x, y, pos%3 ch, least(3,greatest(0,cast(floor((cast(embedding[64] as double)+0.5)*4) as int))) tail,
              least(255,greatest(0,cast(floor((cast(embedding[pos+1] as double)+0.5)*4) as int)*64)) v
       from (select label, y, unnest(range(64)) pos, embedding from fx_rows) where pos<63) group by 1,2,3
 """
 FIXTURE_SQL["fx_levels"] = """
 select label pattern_id, y row_idx, cast(pos as int) col_idx,
-       least(5,greatest(0,cast(floor((cast(embedding[pos+1] as double)+0.5)*6) as int))) lvl
+       least(11,greatest(0,cast(floor((cast(embedding[pos+1] as double)+0.5)*12) as int))) lvl
 from (select label, y, unnest(range(64)) pos, embedding from fx_rows)
 """
 FIXTURE_SQL["fx_cells"] = """
@@ -155,6 +145,9 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:
+    # the value left over after 21 pixels of three channels moves the transparent ones
+    tail = F.least(F.lit(3), F.greatest(F.lit(0), F.floor((F.element_at("embedding", 64).cast("double") + 0.5) * 4).cast("int")))
+
     def level(offset: int):
         v = F.element_at("embedding", F.col("x") * 3 + (offset + 1)).cast("double")
         return F.least(F.lit(255), F.greatest(F.lit(0), F.floor((v + 0.5) * 4).cast("int") * 64))
@@ -164,7 +157,7 @@ def pixels(spark: SparkSession, d: str) -> DataFrame:
         .select(F.col("label").alias("image_id"), "y", "embedding", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("x"))
         .select(
             "image_id", "x", "y", *[level(i).alias(n) for i, n in enumerate("rgb")],
-            F.when((F.col("x") * 7 + F.col("y") * 3) % 11 == 0, 0).otherwise(255).alias("a"),
+            F.when((F.col("x") * 7 + F.col("y") * 3 + tail) % 11 == 0, 0).otherwise(255).alias("a"),
         )
     )
 
@@ -174,12 +167,12 @@ def levels(spark: SparkSession, d: str) -> DataFrame:
         F.col("label").alias("pattern_id"), F.col("y").alias("row_idx"), F.posexplode("embedding").alias("col_idx", "v")
     ).select(
         "pattern_id", "row_idx", "col_idx",
-        F.least(F.lit(5), F.greatest(F.lit(0), F.floor((F.col("v").cast("double") + 0.5) * 6).cast("int"))).alias("lvl"),
+        F.least(F.lit(11), F.greatest(F.lit(0), F.floor((F.col("v").cast("double") + 0.5) * 12).cast("int"))).alias("lvl"),
     )
 
 
 def cells(spark: SparkSession, d: str) -> DataFrame:
-    pal = lookup_side(palette(spark, d).where("ord % 11 = 0 and ord <= 55").select("ord", "color_key", "hex"))
+    pal = lookup_side(palette(spark, d).where("ord % 11 = 0 and ord <= 121").select("ord", "color_key", "hex"))
     outside = (F.col("row_idx") + F.col("col_idx")) % 17 == 0
     return (
         levels(spark, d).withColumn("ord", F.col("lvl") * 11).join(pal, "ord")

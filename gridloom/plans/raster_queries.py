@@ -101,10 +101,10 @@ select a.pattern_id, a.rk lo, b.rk hi, {fx.distance_sql('pa', 'pb')} dist from f
 
 
 def _merged_sql(threshold: int) -> str:
-    """Leader clustering for the fixture's six colours, one rank after another."""
+    """Leader clustering for the fixture's twelve colours, one rank after another."""
     ranks = ["select pattern_id, rk, rk lead from fx_merge_colors where rk=1"]
     steps = ["l1 as (select pattern_id, rk, rk lead from fx_merge_colors where rk=1)"]
-    for k in range(2, 7):
+    for k in range(2, 13):
         steps.append(
             f"l{k} as (select * from l{k-1} union all select c.pattern_id, c.rk, coalesce((select min(l.rk) from l{k-1} l join fx_merge_pairs p "
             f"on p.pattern_id=l.pattern_id and p.lo=l.rk and p.hi={k} where l.pattern_id=c.pattern_id and l.lead=l.rk and p.dist<{threshold}),c.rk) "
@@ -115,16 +115,16 @@ def _merged_sql(threshold: int) -> str:
 
 
 @query("color_leaders", _merged_sql(30) + """
-select c.pattern_id, c.color_key, t.color_key leader from l6 join fx_merge_colors c on c.pattern_id=l6.pattern_id and c.rk=l6.rk
-  join fx_merge_colors t on t.pattern_id=l6.pattern_id and t.rk=l6.lead
+select c.pattern_id, c.color_key, t.color_key leader from l12 join fx_merge_colors c on c.pattern_id=l12.pattern_id and c.rk=l12.rk
+  join fx_merge_colors t on t.pattern_id=l12.pattern_id and t.rk=l12.lead
 """)
 def color_leaders(spark, d):
     return raster.color_leaders(fx.cells(spark, d), fx.palette(spark, d), 30.0)
 
 
 @query("merge_similar_colors", _merged_sql(30) + """,
-lead as (select c.pattern_id, c.color_key, t.color_key leader, p.hex from l6 join fx_merge_colors c on c.pattern_id=l6.pattern_id and c.rk=l6.rk
-  join fx_merge_colors t on t.pattern_id=l6.pattern_id and t.rk=l6.lead join fx_palette p on p.color_key=t.color_key)
+lead as (select c.pattern_id, c.color_key, t.color_key leader, p.hex from l12 join fx_merge_colors c on c.pattern_id=l12.pattern_id and c.rk=l12.rk
+  join fx_merge_colors t on t.pattern_id=l12.pattern_id and t.rk=l12.lead join fx_palette p on p.color_key=t.color_key)
 select c.pattern_id, c.row_idx, c.col_idx, coalesce(m.leader,c.color_key) color_key, coalesce(m.hex,c.hex) hex, c.is_external
   from fx_cells c left join lead m on m.pattern_id=c.pattern_id and m.color_key=c.color_key
 """)
