@@ -13,6 +13,7 @@ is shuffled and nothing runs in Python.
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -48,16 +49,30 @@ PRECISION, LEAST_HELD_OUT = 0.99, 5
 #: Steps of the score by which the candidates not fitted on are counted.
 STEPS = 1000
 BLOCK = 256
+#: Code points of a block from which the redacted text is put together.
+CUT = 4096
 FEATURES = ["kind", "length", "digits", "luhn", "plus", "octets", "at", "breaks", "joined_before", "joined_after", "context", "distinct_digits", "valid", "continued"]
 
 
-def _running_sums(values: str) -> str:
-    """SQL: inclusive running sums of an array of longs, in blocks, so that long arrays stay far from quadratic."""
-    last = "element_at(a, -1)"
+def _running(values: str, start: str, step: str) -> str:
+    """SQL: inclusive running totals of an array of longs, in blocks, so that long arrays stay far from quadratic.
+
+    `start` is the total of nothing, `step` the total of `a` and `v`.
+    """
+    last = "element_at(t, -1)"
     blocks = f"transform(sequence(0, int(greatest(0, ceil(size({values}) / {BLOCK}) - 1))), b -> slice({values}, b * {BLOCK} + 1, {BLOCK}))"
-    sums = f"transform({blocks}, x -> aggregate(x, 0L, (a, v) -> a + v))"
-    starts = f"aggregate({sums}, array(0L), (a, v) -> concat(a, array({last} + v)))"
-    return f"flatten(zip_with({blocks}, slice({starts}, 1, size({blocks})), (x, s) -> slice(aggregate(x, array(s), (a, v) -> concat(a, array({last} + v))), 2, {BLOCK})))"
+    added = step.replace("(a, v)", f"({last}, v)").replace("a + v", f"{last} + v")
+    totals = f"transform({blocks}, x -> aggregate(x, {start}, (a, v) -> {step}))"
+    before = f"aggregate({totals}, array({start}), (t, v) -> concat(t, array({added})))"
+    return f"flatten(zip_with({blocks}, slice({before}, 1, size({blocks})), (x, s) -> slice(aggregate(x, array(s), (t, v) -> concat(t, array({added}))), 2, {BLOCK})))"
+
+
+def _sums(values: str) -> str:
+    return _running(values, "0L", "a + v")
+
+
+def _tops(values: str) -> str:
+    return _running(values, "-1L", "greatest(a, v)")
 
 
 def _luhn(digits: str) -> str:
@@ -66,7 +81,11 @@ def _luhn(digits: str) -> str:
 
 
 def _hits(df: DataFrame, text: str, patterns: dict[str, tuple[str, str]]) -> DataFrame:
-    """Adds for each (pattern, guard) an array of (start, end, hit): leftmost matches, code points, end exclusive."""
+    """Adds for each (pattern, guard) an array of (start, end, hit, before, after): leftmost matches, code points, end exclusive.
+
+    `before` and `after` are the characters beside a match, taken from the gaps and matches next to it, so that no text
+    is searched for a position.
+    """
     cols = {}
     for name, (pattern, guard) in patterns.items():
         wanted = F.expr(guard)
@@ -76,7 +95,14 @@ def _hits(df: DataFrame, text: str, patterns: dict[str, tuple[str, str]]) -> Dat
     df = df.withColumns(cols)
     cols = {n + "_s": F.expr(f"transform({n}_m, (m, i) -> length({n}_g[i]) + if(i = 0, 0L, bigint(length(get({n}_m, i - 1)))))") for n in patterns}
     df = df.withColumns(cols)
-    cols = {n: F.expr(f"if(size({n}_m) = 0, cast(array() as array<struct<start: bigint, end: bigint, hit: string>>), zip_with({_running_sums(n + '_s')}, {n}_m, (s, m) -> struct(s as start, s + length(m) as end, m as hit)))") for n in patterns}
+    empty = "cast(array() as array<struct<start: bigint, end: bigint, hit: string, before: string, after: string>>)"
+    cols = {}
+    for n in patterns:
+        # the gap and match before, the gap and match after: neighbours in the arrays
+        before = f"right(concat(if(i = 0, '', right(get({n}_m, i - 1), {CONTEXT_CHARS})), right({n}_g[i], {CONTEXT_CHARS})), {CONTEXT_CHARS})"
+        after = f"left(concat(left(get({n}_g, i + 1), 2), coalesce(left(get({n}_m, i + 1), 2), '')), 2)"
+        beside = f"transform({n}_m, (m, i) -> struct(m, {before} as before, {after} as after))"
+        cols[n] = F.expr(f"if(size({n}_m) = 0, {empty}, zip_with({_sums(n + '_s')}, {beside}, (s, x) -> struct(s as start, s + length(x.m) as end, x.m as hit, x.before as before, x.after as after)))")
     return df.withColumns(cols).drop(*[n + x for n in patterns for x in ("_m", "_g", "_s")])
 
 
@@ -99,13 +125,23 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
         "phone": f"length({digits.format('x')}) between 10 and 15",
     }
     sql = lambda s: s.replace("\\", "\\\\")
-    base = ", ".join(f"transform(filter(pii_b_{k}, x -> {sql(valid[k])}), x -> struct(x.start as start, {i} as kind, x.end as end))" for i, k in enumerate(KINDS))
-    df = df.withColumn("pii_base", F.expr(f"array_sort(concat({base}))"))
-    every = [f"transform({n}, x -> struct({KINDS.index(n[6:])} as kind, x.start as start, x.end as end, x.hit as hit))" for n in names]
-    df = df.withColumn("pii_found", F.expr(f"array_distinct(concat({', '.join(every)}))"))
+    rows = []
+    for n in names:
+        # of equal spans the base one sorts first and stays
+        other = f"int(not ({sql(valid[n[6:]])}))" if n.startswith("pii_b_") else "1"
+        rows.append(f"transform({n}, x -> struct({KINDS.index(n[6:])} as kind, x.start as start, x.end as end, {other} as other, x.hit as hit, x.before as before, x.after as after))")
+    df = df.withColumn("pii_sorted", F.expr(f"array_sort(concat({', '.join(rows)}))"))
+    distinct = "i = 0 or get(pii_sorted, i - 1).kind != x.kind or get(pii_sorted, i - 1).start != x.start or get(pii_sorted, i - 1).end != x.end"
+    df = df.withColumn("pii_all", F.expr(f"filter(pii_sorted, (x, i) -> {distinct})"))
+    df = df.withColumn("pii_base", F.expr("array_sort(transform(filter(pii_all, x -> x.other = 0), x -> struct(x.start as start, x.kind as kind, x.end as end)))"))
+    # sweeps: how far the base spans reach that start before a proposal ends, and those that start where it does or before
+    for name, key, base_turn in (("pii_reach", "end", 1), ("pii_cover", "start", 0)):
+        proposals = f"transform(pii_all, (x, i) -> struct(x.{key} as key, {1 - base_turn} as turn, -1L as reach, i as place))"
+        events = f"array_sort(concat(transform(pii_base, b -> struct(b.start as key, {base_turn} as turn, b.end as reach, -1 as place)), {proposals}))"
+        df = df.withColumn("pii_events", F.expr(events)).withColumn("pii_ends", F.expr("transform(pii_events, e -> e.reach)"))
+        far = f"zip_with(pii_events, {_tops('pii_ends')}, (e, t) -> struct(e.place as place, t as top))"
+        df = df.withColumn(name, F.expr(f"transform(array_sort(filter({far}, p -> p.place >= 0)), p -> p.top)")).drop("pii_events", "pii_ends")
     d = digits.format("x")
-    same = "exists(pii_base, b -> b.kind = x.kind and b.start = x.start and b.end = x.end)"
-    touch = "exists(pii_base, b -> b.start < x.end and x.start < b.end)"
     one = lambda c: f"double({c})"
     # a written-out address without a sentence's end in it, a card of 13 digits that starts with 4, a national number
     right = f"""(case x.kind when {KINDS.index('email')} then contains(x.hit, '@') or x.hit rlike '[A-Za-z]{{2,24}}$' and not x.hit rlike '[.] '
@@ -113,23 +149,26 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
         when {KINDS.index('card')} then length({d}) between 13 and 19 and (length({d}) > 13 or startswith({d}, '4')) and {_luhn(d)}
         else startswith(x.hit, '+') and length({d}) between 10 and 15 or {d} rlike '^(?:[2-9][0-9]{{2}}[2-9][0-9]{{6}}|0[1-9][0-9]{{7,9}})$' end)"""
     # a whole valid card number is one beside other digits too
-    joined = """(x.kind != 2 and (substring(pii_text, int(greatest(0L, x.start - 2)) + 1, int(least(2L, x.start))) rlike '[0-9][ .-]?$'
-        or x.kind > 1 and not startswith(x.hit, '+') and substring(pii_text, int(x.end) + 1, 2) rlike '^[ -]?[0-9]'))"""
+    joined = """(x.kind != 2 and (right(x.before, 2) rlike '[0-9][ .-]?$'
+        or x.kind > 1 and not startswith(x.hit, '+') and x.after rlike '^[ -]?[0-9]'))"""
     features = {
         "kind": one("x.kind"), "length": one("x.end - x.start"), "digits": one(f"length({d})"), "luhn": one(f"int(length({d}) >= 12 and length({d}) <= 19 and {_luhn(d)})"),
         "plus": one("int(startswith(x.hit, '+'))"), "octets": one(f"int(x.hit rlike '{sql(OCTETS)}')"), "at": one("int(contains(x.hit, '@'))"),
         "breaks": one("length(regexp_replace(x.hit, '[^ .()-]', ''))"),
-        "joined_before": one("int(x.start > 0 and substring(pii_text, int(x.start), 1) rlike '[A-Za-z0-9]')"),
-        "joined_after": one("int(substring(pii_text, int(x.end) + 1, 1) rlike '[A-Za-z0-9]')"),
-        "context": one(f"int(lower(substring(pii_text, int(greatest(0L, x.start - {CONTEXT_CHARS})) + 1, int(least({CONTEXT_CHARS}L, x.start)))) rlike '{sql(CONTEXT)}')"),
+        "joined_before": one("int(right(x.before, 1) rlike '[A-Za-z0-9]')"),
+        "joined_after": one("int(left(x.after, 1) rlike '[A-Za-z0-9]')"),
+        "context": one(f"int(lower(x.before) rlike '{sql(CONTEXT)}')"),
         "distinct_digits": one(f"size(array_distinct(split({d}, '')))"),
         "valid": one(f"int({right})"), "continued": one(f"int({joined})"),
     }
     sure = f"{right} and not {joined} and (x.kind != {KINDS.index('phone')} or startswith(x.hit, '+') or {features['context']} = 1)"
     evidence = f"when {sure} then 1.0D when not {right} or {joined} then 0.0D else null"
     fields = ", ".join(f"{v} as f_{k}" for k, v in features.items())
-    df = df.withColumn("pii_found", F.expr(f"transform(pii_found, x -> struct(x.kind as kind, x.start as start, x.end as end, case when {same} then 1.0D when {touch} then null {evidence} end as label, xxhash64(x.hit) as pick, {fields}))"))
-    return df.drop("pii_text", "pii_digits", *names)
+    label = f"case when z.pii_all.other = 0 then 1.0D when z.pii_reach > z.pii_all.start then null {evidence} end"
+    found = f"struct(x.kind as kind, x.start as start, x.end as end, {label} as label, z.pii_cover >= x.end as inside, xxhash64(x.hit) as pick, {fields})"
+    found = re.sub(r"\bx\.(?=(?:kind|start|end|hit|before|after)\b)", "z.pii_all.", found)
+    df = df.withColumn("pii_found", F.expr(f"transform(arrays_zip(pii_all, pii_reach, pii_cover), z -> {found})"))
+    return df.drop("pii_text", "pii_digits", "pii_sorted", "pii_all", "pii_reach", "pii_cover", *names)
 
 
 def _tree(node, c: Column) -> Column:
@@ -188,7 +227,9 @@ def fit(found: DataFrame, max_sample: int = MAX_SAMPLE) -> Model:
     examples = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in grammar()])).alias("text"))
     columns = [f"f_{k}" for k in FEATURES]
     order = ["pick", "kind", "label", *columns]
-    each = _labelled(found).select(*order).unionByName(_labelled(candidates(examples)).select(*order))
+    # stored first: a filter pushed through the arrays would write their expressions out again and again
+    examples = written(candidates(examples).select("pii_found"), "pii-examples")
+    each = _labelled(found).select(*order).unionByName(_labelled(examples).select(*order))
     each = written(each.groupBy(*order).agg(F.count(F.lit(1)).alias("n")), "pii-labelled")
     strata = each.groupBy("kind", "label").count().collect()  # at most eight rows
     share = F.lit(0.0)
@@ -215,9 +256,9 @@ def fit(found: DataFrame, max_sample: int = MAX_SAMPLE) -> Model:
 
 def _with_spans(found: DataFrame, model: Model) -> DataFrame:
     """Adds pii_spans: base spans and chosen candidates that lie in no span of the base, by start, kind and end."""
-    fresh = lambda c: ~F.exists("pii_base", lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"]))
-    added = F.transform(F.filter("pii_found", lambda c: model.chosen(c) & fresh(c)), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
-    return found.withColumn("pii_spans", F.array_sort(F.array_distinct(F.concat("pii_base", added))))
+    added = F.filter("pii_found", lambda c: ~c["inside"] & model.chosen(c))
+    added = F.transform(added, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
+    return found.withColumn("pii_spans", F.array_sort(F.concat("pii_base", added)))
 
 
 def _listed(spans: str) -> Column:
@@ -247,10 +288,16 @@ def redacted(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> DataFrame:
     found = written(candidates(packed).drop("text"), "pii-candidates")
     spans = _with_spans(found, fit(found, max_sample))
     text = f"{row}.text"
-    merge = """aggregate(pii_spans, cast(array() as array<struct<start: bigint, kind: int, end: bigint>>), (a, s) -> if(size(a) > 0 and s.start < element_at(a, -1).end,
-        concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start as start, element_at(a, -1).kind as kind, greatest(element_at(a, -1).end, s.end) as end))), concat(a, array(s))))"""
-    spans = spans.withColumn("pii_merged", F.expr(merge))
+    spans = spans.withColumn("pii_ends", F.expr("transform(pii_spans, s -> s.end)")).withColumn("pii_tops", F.expr(_tops("pii_ends")))
+    spans = spans.withColumn("pii_heads", F.expr("filter(zip_with(pii_spans, concat(array(-1L), slice(pii_tops, 1, greatest(0, size(pii_tops) - 1))), (s, t) -> struct(s, t)), z -> z.s.start >= z.t)"))
+    ends = "concat(slice(transform(pii_heads, h -> h.t), 2, size(pii_heads)), array(array_max(pii_tops)))"
+    spans = spans.withColumn("pii_merged", F.expr(f"if(size(pii_heads) = 0, cast(array() as array<struct<start: bigint, kind: int, end: bigint>>), zip_with(pii_heads, {ends}, (h, e) -> struct(h.s.start as start, h.s.kind as kind, e as end)))"))
+    # a gap is cut from blocks of the text, so that no piece is searched from the text's first character on
+    blocks = f"transform(sequence(0, int(length({text}) / {CUT})), b -> substring({text}, b * {CUT} + 1, {CUT}))"
+    spans = spans.withColumn("pii_blocks", F.expr(f"if(size(pii_merged) = 0, array(), {blocks})")).withColumn("pii_gaps", F.expr(f"zip_with(concat(array(0L), transform(pii_merged, s -> s.end)), concat(transform(pii_merged, s -> s.start), array(bigint(length({text})))), (a, e) -> struct(a, e, int(a div {CUT}) as x, int(e div {CUT}) as y))"))
+    inner = f"substring(get(pii_blocks, g.x), int(g.a % {CUT}) + 1, int(g.e - g.a))"
+    outer = f"concat(substring(get(pii_blocks, g.x), int(g.a % {CUT}) + 1), array_join(slice(pii_blocks, g.x + 2, greatest(0, g.y - g.x - 1)), ''), substring(get(pii_blocks, g.y), 1, int(g.e % {CUT})))"
     names = ", ".join(f"'[{k}]'" for k in KINDS)
-    pieces = f"transform(pii_merged, (s, i) -> concat(substring({text}, int(if(i = 0, 0L, get(pii_merged, i - 1).end)) + 1, int(s.start - if(i = 0, 0L, get(pii_merged, i - 1).end))), get(array({names}), s.kind)))"
-    clean = F.expr(f"if(size(pii_merged) = 0, {text}, concat(array_join({pieces}, ''), substring({text}, int(element_at(pii_merged, -1).end) + 1)))")
+    pieces = f"zip_with(pii_gaps, pii_merged, (g, s) -> concat(if(g.x = g.y, {inner}, {outer}), coalesce(get(array({names}), s.kind), '')))"
+    clean = F.expr(f"if(size(pii_merged) = 0, {text}, array_join({pieces}, ''))")
     return spans.withColumn("pii_clean", clean).select(*[(F.col("pii_clean") if c.lower() == "text" else F.col(row)[c]).alias(c) for c in docs.columns])
