@@ -1,5 +1,6 @@
 """Round trips through the file formats: tables derived from the driver tables are written and read back."""
 
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from gridloom.lineage import scratch_path
@@ -307,3 +308,49 @@ def image_pixels(spark, d):
         F.unhex(F.array_join(F.transform(dots, lambda p: p["h"]), "")).alias("data"), (F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height")
     ).withColumn("channels", F.lit(3))
     return images.image_pixels(strips)
+
+
+def _bitmap_files(spark, d):
+    """Strips of 16 pixel lines as BMP files in a fresh folder: every fifth one broken, every seventh under a name that is no image's."""
+    folder = scratch_path(spark, "bitmaps")
+    px = fx.pixels(spark, d).select(
+        (F.col("image_id") * 1000 + F.floor(F.col("y") / 16)).alias("strip"), (F.col("y") % 16).alias("y"), "x", F.format_string("%02X%02X%02X", "b", "g", "r").alias("h")
+    )
+    little = lambda n: F.concat(*[F.lpad(F.hex(F.shiftright(n.cast("bigint"), 8 * i).bitwiseAND(F.lit(255).cast("bigint"))), 2, "0") for i in range(4)])
+    dots = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "h"))), lambda p: p["h"]), "")
+    lines = px.groupBy("strip", "y").agg(dots.alias("line"), F.count(F.lit(1)).alias("width"))
+    padded = F.rpad("line", (F.ceil(F.col("width") * 3 / 4) * 8).cast("int"), F.lit("0"))
+    strips = lines.groupBy("strip").agg(  # a bitmap's lowest line comes first
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", padded.alias("l"))), asc=False), lambda p: p["l"]), "").alias("body"),
+        F.max("width").alias("width"), F.count(F.lit(1)).alias("height"),
+    )
+    header = F.concat(F.lit("424D"), little(F.length("body") / 2 + 54), F.lit("00000000" "36000000" "28000000"), little(F.col("width")), little(F.col("height")), F.lit("01001800" + "00" * 24))
+    content = F.unhex(F.when(F.col("strip") % 5 == 0, F.lit("424D0000")).otherwise(F.concat(header, "body")))
+    name = F.concat(F.col("strip").cast("string"), F.when(F.col("strip") % 7 == 0, ".txt").otherwise(".BMP"))
+
+    def save(batches):
+        system, place = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(place, recursive=True)
+        for batch in batches:
+            for row in batch.to_pylist():  # a second attempt writes the same bytes
+                with system.open_output_stream(f"{place}/{row['name']}") as out:
+                    out.write(row["content"])
+            yield batch.select(["name"])
+
+    strips.select(name.alias("name"), content.alias("content")).mapInArrow(save, "name string").count()
+    return folder
+
+
+@query("read_images", """
+with strips as (select image_id*1000+y//16 strip, max(x)+1 width, count(distinct y) height, sum(r*(x+1)+g*3+b*(y%16+7)) checksum from fx_pixels group by 1)
+select cast(strip as varchar) || '.BMP' "name", case when strip%5<>0 then cast(width as int) end width, case when strip%5<>0 then cast(height as int) end height,
+  case when strip%5<>0 then cast(checksum as bigint) end checksum, case when strip%5=0 then 'could_not_read' end reason from strips where strip%7<>0
+""")
+def read_images(spark, d):
+    """Decoded files with a checksum of their pixels, and the files that could not be read."""
+    found, refused = images.read_images(spark, _bitmap_files(spark, d))
+    name = F.element_at(F.split("image_id", "/"), -1).alias("name")
+    sums = images.image_pixels(found).groupBy("image_id").agg(F.sum(F.col("r") * (F.col("x") + 1) + F.col("g") * 3 + F.col("b") * (F.col("y") + 7)).alias("checksum"))
+    good = found.join(sums, "image_id").select(name, "width", "height", "checksum", F.lit(None).cast("string").alias("reason"))
+    bad = refused.select(name, F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit(None).cast("bigint").alias("checksum"), "reason")
+    return good.unionByName(bad)
