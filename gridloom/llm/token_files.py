@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +37,23 @@ END_ID = 2
 #: Ids after which a task starts a new file, and documents read at once; both bound memory.
 FILE_IDS, READ_DOCS = 16_000_000, 2_000
 READ_IDS = 4_000_000
-#: Bytes of words and ids that a worker remembers; beyond, it starts anew.
-REMEMBERED = 64_000_000
+#: Bytes of words and ids that a worker remembers, at about so many an entry; beyond, it starts anew.
+REMEMBERED, ENTRY = 240_000_000, 170
+#: Code points of texts encoded together.
+TOGETHER = 3_000_000
 MANIFEST = "part int, file_no int, path string, n_docs long, n_ids long, first_doc long, last_doc long"
 
 
+def _parts(settings: dict | None, inner: str) -> list[dict]:
+    return [] if settings is None else settings[inner] if settings["type"] == "Sequence" else [settings]
+
+
 def splits_at_spaces(settings: dict) -> bool:
     """Whether encoding a text word by word is proven to give the same ids: the parts of the tokenizer are known ones."""
-    parts = lambda x, inner: [] if x is None else x[inner] if x["type"] == "Sequence" else [x]
-    for n in parts(settings["normalizer"], "normalizers"):
+    for n in _parts(settings["normalizer"], "normalizers"):
         if n["type"] not in ("NFC", "NFD", "Lowercase") and (n["type"], n.get("pattern"), n.get("content")) != ("Replace", {"Regex": "\\s+"}, " "):
             return False
-    pre = parts(settings["pre_tokenizer"], "pretokenizers")
+    pre = _parts(settings["pre_tokenizer"], "pretokenizers")
     if not pre or any(a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] or " " in a["content"] or "\n" in a["content"] for a in settings["added_tokens"]):
         return False
     words = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"  # no branch can match white space
@@ -55,36 +62,97 @@ def splits_at_spaces(settings: dict) -> bool:
     return all((p["type"], p.get("add_prefix_space")) == ("ByteLevel", False) for p in pre[1:]) and not settings["truncation"] and not settings["padding"]
 
 
+#: Letters that stay single letters under NFC and lower-casing, and words made of them and ASCII signs but the apostrophe.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+PLAIN = re.compile(f"[!-&(-~{LATIN}]+")
+PARTS = re.compile(f"[{LATIN}]+|[^{LATIN}]+")
+LETTERS = re.compile(f"[{LATIN}]+")
+#: Runs of letters encoded in one call.
+RUNS = 2_000
+
+
 class Encoder:
-    """Ids of texts as bytes, `dtype` numbers with the end id last."""
+    """Ids of texts as bytes, `dtype` numbers with the end id last.
+
+    A word of Latin letters and ASCII signs is cut further, since a run of letters is always a unit of its own. New runs
+    are encoded many at a time, and the ids that carry the end-of-word mark say where each ends.
+    """
 
     def __init__(self, settings: str, end_id: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(settings)
-        top = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
-        self.dtype = "<u2" if max(top, end_id or 0) < 2**16 else "<u4"
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        top = max([*vocabulary.values(), end_id or 0])
+        self.dtype = "<u2" if top < 2**16 else "<u4"
         self.end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
-        self.by_word = splits_at_spaces(json.loads(settings))
+        info = json.loads(settings)
+        self.by_word = splits_at_spaces(info)
+        self.marked = re.compile("|".join(re.escape(a["content"]) for a in info["added_tokens"]) or "(?!)").search
+        mark = info["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(top + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if mark and t.endswith(mark)]] = True
+        self.lowered = any(n["type"] == "Lowercase" for n in _parts(info["normalizer"], "normalizers"))
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[str, bytes] = {"": b""}
+        self.units: dict[str, bytes] = {}
         self.size = 0
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            if not self.by_word:
-                yield self._raw([text or ""])[0] + self.end
-                continue
-            if self.size > REMEMBERED:
-                self.known, self.size = {"": b""}, 0
-            words = (text or "").replace("\n", " ").split(" ")
-            new = list({w for w in words if w not in self.known})
-            if new:
-                coded = self._raw(new)
-                self.known.update(zip(new, coded))
-                self.size += sum(map(len, new)) + sum(map(len, coded)) + 150 * len(new)
-            yield b"".join(map(self.known.__getitem__, words)) + self.end
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs of letters."""
+        ids = np.array(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, self.dtype)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(runs):  # no such mark, or a run that is no unit
+            return self._raw(runs)
+        raw, at = ids.tobytes(), [0, *(cuts * ids.itemsize).tolist()]
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
+    def _learn(self, words: list[str]) -> None:
+        runs, cut, whole = {}, {}, []  # a word that is one run, words of several units, and words to be encoded as they are
+        for w in words:
+            if w.isascii():
+                key = w.lower() if self.lowered else w
+                if w.isalpha():
+                    runs[w] = key
+                    continue
+            else:
+                key = w
+            if PLAIN.fullmatch(w) and not self.marked(w):
+                cut[w] = PARTS.findall(key)
+            else:
+                whole.append(w)
+        units = self.units
+        new = {*runs.values(), *chain.from_iterable(cut.values())}.difference(units)
+        letters = [u for u in new if LETTERS.match(u)]
+        signs = list(new.difference(letters))
+        before = len(units) + len(self.known)
+        for i in range(0, len(letters), RUNS):
+            some = letters[i : i + RUNS]
+            units.update(zip(some, self._runs(some)))
+        units.update(zip(signs, self._raw(signs)))
+        self.known.update(zip(runs, map(units.__getitem__, runs.values())))
+        self.known.update((w, b"".join([units[u] for u in parts])) for w, parts in cut.items())
+        self.known.update(zip(whole, self._raw(whole)))
+        self.size += (len(units) + len(self.known) - before) * ENTRY + 3 * sum(map(len, whole))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_word:
+            return [raw + self.end for raw in self._raw([t or "" for t in texts])]
+        if self.size > REMEMBERED:
+            self._forget()
+        lists = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        # the words of these texts alone are looked up again and again, not all that is remembered
+        here = set().union(*lists)
+        here = dict(zip(here, map(self.known.get, here)))
+        new = [w for w, ids in here.items() if ids is None]
+        if new:
+            self._learn(new)
+            here.update(zip(new, map(self.known.__getitem__, new)))
+        return [b"".join(map(here.__getitem__, words)) + self.end for words in lists]
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -160,7 +228,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = END
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
         settings = f.read()
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("text").asc_nulls_first()]
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]  # not the text: Spark samples the order's columns
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -185,17 +253,25 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = END
             row = {"part": part, "file_no": number, "path": f"{folder}/{name}", "n_docs": len(ends), "n_ids": total, "first_doc": known[0] if known else None, "last_doc": known[-1] if known else None}
             return pa.RecordBatch.from_pylist([row], pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[t]) for n, t in (c.split() for c in MANIFEST.split(", "))]))
 
-        for batch in batches:
-            texts = batch.column("text")
-            for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                coded = next(encoder.encode([texts[i].as_py()]))
-                if ends and total + len(coded) // width > file_ids:
-                    yield flush()
-                    ids, ends, doc_ids, total, number = [], [], [], 0, number + 1
-                ids.append(coded)
-                total += len(coded) // width
-                ends.append(total)
-                doc_ids.append(doc_id)
+        def coded_rows() -> Iterator[tuple[int | None, bytes]]:
+            """The rows' ids, some texts at a time."""
+            for batch in batches:
+                texts, names, some, chars = batch.column("text"), batch.column("doc_id").to_pylist(), [], 0
+                for i, doc_id in enumerate(names):
+                    some.append((doc_id, texts[i].as_py()))
+                    chars += len(some[-1][1] or "")
+                    if chars > TOGETHER or i + 1 == len(names):
+                        yield from zip([d for d, _ in some], encoder.encode([t for _, t in some]))
+                        some, chars = [], 0
+
+        for doc_id, coded in coded_rows():
+            if ends and total + len(coded) // width > file_ids:
+                yield flush()
+                ids, ends, doc_ids, total, number = [], [], [], 0, number + 1
+            ids.append(coded)
+            total += len(coded) // width
+            ends.append(total)
+            doc_ids.append(doc_id)
         if ends:
             yield flush()
 

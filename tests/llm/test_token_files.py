@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -45,8 +46,12 @@ def test_select_over_samples(n, span):
     assert len(raw) < 200 + n * (2 + max(0, np.log2(away / n + 1)) + 32 / SAMPLE + 1) / 8
 
 
-def expected(data, path=WORD, end_id=2):
-    tok = Tokenizer.from_file(path)
+PLAIN = Tokenizer.from_file(WORD)
+ENCODER = token_files.Encoder(open(WORD, encoding="utf-8").read(), 2)
+
+
+def expected(data, path=WORD, end_id=2, tok=None):
+    tok = tok or Tokenizer.from_file(path)
     return [[*tok.encode(t or "", add_special_tokens=False).ids, *([] if end_id is None else [end_id])] for t in data]
 
 
@@ -83,6 +88,23 @@ def test_repeated_ids_and_rows_and_empty_table(spark, tmp_path):
     assert empty.count() == 0 and token_files.read(empty).count() == 0
 
 
+SIGNS = "aBÉıŉǅßİΣςé漢.,'’<|>-=0٣7\u0338\u0301\u00a0\u0958_~ \n"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(SIGNS, max_size=14), max_size=6))
+def test_remembered_units_give_the_ids_of_whole_texts(texts):
+    texts = [*texts, " ".join(texts), "it's " + "".join(texts), "it'S don't</w> x<|endoftext|>y"]
+    ids = [np.frombuffer(x, "<u2").tolist() for x in ENCODER.encode(texts)]
+    assert ids == expected(texts, tok=PLAIN)
+    ENCODER._forget()
+
+
+def test_whole_documents():
+    table = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    assert [np.frombuffer(x, "<u2").tolist() for x in ENCODER.encode(table.text.tolist())] == expected(table.text, tok=PLAIN)
+
+
 def test_words_are_encoded_alone_only_where_that_is_proven():
     given = lambda p: json.load(open(p))
     assert token_files.splits_at_spaces(given(WORD))
