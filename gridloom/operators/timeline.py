@@ -1,7 +1,7 @@
 """Joins and windows along time that hold when one key has most of the rows.
 
-The as-of join and sessions deal rows into ranges of (key, time), work inside a range, and carry what a range leaves to
-the next ones by one row per key and range. Overlapping intervals meet at cells of a dyadic grid.
+The as-of join, overlap totals and sessions deal rows into ranges of (key, time), work inside a range, and carry what a
+range leaves to the next ones by one row per key and range. Pairs of overlapping intervals meet at cells of a dyadic grid.
 """
 
 from __future__ import annotations
@@ -89,7 +89,8 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], left_span: tupl
             return spans.join(points, keys).where("false")
         at = points.where(F.col(start) < F.col(end)).select("*", F.explode(_path(start, levels)).alias("_c"))
         at = at.select("*", F.col("_c.level").alias("_level"), F.col("_c.cell").alias("_cell")).drop("_c")
-        return spans.join(at, [*keys, "_level", "_cell"])
+        # Spark guesses the cells at the size of the spans they come from, so it would broadcast them
+        return spans.hint("merge").join(at, [*keys, "_level", "_cell"])
 
     order = [*keys, *[c for c in left.columns if c not in keys], *[c for c in right.columns if c not in keys]]
     first = pairs(cut_lineage(covered(left, left_span)), right, *right_span).select(*order)
@@ -97,6 +98,40 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], left_span: tupl
     return first.unionByName(second)
 
 
+def overlap_totals(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], by: list[str]) -> DataFrame:
+    """Per `by` of `left`: n pairs with rows of `right` as in `overlaps`, and shared, the sum of what each pair shares.
+
+    No pair is made, so that many spans over one another cost as much as few. A span of `left` meets the spans that start
+    before its end less those that ended by its start, and what it shares with them is the growth, from its start to its
+    end, of the running total of time under spans. Rows of `by` without a pair are left out. Empty spans, and null keys
+    or ends, meet nothing.
+    """
+    sound = lambda span: F.expr(" and ".join([*[f"{k} is not null" for k in keys], f"{span[0]} < {span[1]}"]))
+    at = lambda name, side: F.struct(F.col(name).cast("bigint").alias("_at"), F.lit(side).alias("_side"))
+    marks = right.where(sound(right_span)).select(*keys, F.explode(F.array(at(right_span[0], 2), at(right_span[1], 0))).alias("_m"))
+    marks = marks.groupBy(*keys, "_m._at", "_m._side").agg(F.count(F.lit(1)).alias("_n"))
+    asked = left.where(sound(left_span)).withColumn("_by", F.struct(*by))
+    ends = F.array(*[F.struct(F.col(name).cast("bigint").alias("_at"), F.lit(sign).cast("bigint").alias("_n")) for name, sign in zip(left_span, (-1, 1))])
+    probes = asked.select(*keys, F.explode(ends).alias("_m"), "_by").select(*keys, "_m._at", F.lit(1).alias("_side"), "_m._n", "_by")
+    line = marks.withColumn("_by", F.lit(None).cast(probes.schema["_by"].dataType)).unionByName(probes)
+    dealt = _ranges(line, [F.col(c) for c in [*keys, "_at", "_side", "_by"]])
+    begun, over = F.col("_side") == 2, F.col("_side") == 0
+    moves = {
+        "_begun": F.when(begun, F.col("_n")).otherwise(0), "_over": F.when(over, F.col("_n")).otherwise(0),
+        "_time": F.when(begun, F.col("_n") * F.col("_at")).when(over, -F.col("_n") * F.col("_at")).otherwise(0),
+    }
+    inside = Window.partitionBy(*keys, "_range").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*keys, "_range").agg(*[F.sum(c).alias(n) for n, c in moves.items()])
+    carried = sums.select(*keys, "_range", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_carry{n}") for n in moves])
+    known = dealt.withColumns({n: F.sum(c).over(inside) for n, c in moves.items()}).where("_side = 1").join(carried, [*keys, "_range"])
+    total = {n: F.col(n) + F.col(f"_carry{n}") for n in moves}
+    under = F.col("_at") * (total["_begun"] - total["_over"]) - total["_time"]
+    met = F.when(F.col("_n") > 0, total["_begun"]).otherwise(-total["_over"])
+    out = known.select("_by.*", met.alias("_met"), (F.col("_n") * under).alias("_under"))
+    return out.groupBy(*by).agg(F.sum("_met").alias("n"), F.sum("_under").alias("shared")).where("n > 0")
+
+
 def sessions(events: DataFrame, keys: list[str], time: str, gap_s: float, sums: list[str]) -> DataFrame:
     """One row per session: keys, started_at, ended_at, n_events and the sums. A pause longer than `gap_s` seconds ends one.
 

@@ -64,9 +64,8 @@ select pattern_id, l.warehouse_id, count(*) n_outages, cast(sum(least(live_to, o
 def requests_in_outages(spark, d):
     start = F.unix_seconds(F.col("requested_at").cast("timestamp"))
     life = requests(spark, d).select("pattern_id", "warehouse_id", "ord", start.alias("live_from"), (start + F.col("needed_s")).alias("live_to"))
-    met = ops.overlaps(life, outages(spark, d).drop("balance"), ["warehouse_id", "ord"], ("live_from", "live_to"), ("out_from", "out_to"))
-    shared = F.least("live_to", "out_to") - F.greatest("live_from", "out_from")
-    return met.groupBy("pattern_id", "warehouse_id").agg(F.count(F.lit(1)).alias("n_outages"), F.sum(shared).alias("seconds_out"))
+    met = ops.overlap_totals(life, outages(spark, d), ["warehouse_id", "ord"], ("live_from", "live_to"), ("out_from", "out_to"), ["pattern_id", "warehouse_id"])
+    return met.withColumnsRenamed({"n": "n_outages", "shared": "seconds_out"})
 
 
 @query("movement_sessions", """

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.operators import timeline
 
@@ -53,6 +54,46 @@ def test_overlaps_of_seconds_and_years(spark, rows, reach):
         assert sum(2**c.level for c in r.c) == r.b - r.a and len(r.c) <= 2 * (r.b - r.a).bit_length()
 
 
+@pytest.mark.parametrize("n", [0, 1, 300])
+def test_overlap_totals_are_those_of_the_pairs(spark, rows, n):
+    """Spans that touch, nest and repeat, probes at one time, a hot key, nulls and empty spans."""
+    rnd = random.Random(n)
+
+    def span():
+        a = rnd.randrange(-60, 60)
+        return rnd.choice([(a, a + rnd.choice([-1, 0, 1, 5, 100])), (a, a + rnd.randrange(1, 9)), (0, 30), (None, 5), (5, None)])
+
+    key = lambda: (rnd.choice(["hot", "hot", "hot", "x", None]), rnd.choice([1, 1, 2]))
+    a = [(*key(), rnd.randrange(90) if i % 9 else None, *span()) for i in range(n)]
+    b = [(*key(), *span()) for _ in range(n)]
+    left = spark.createDataFrame(a, "w string, o int, i int, a long, b long").repartition(5)
+    right = spark.createDataFrame(b, "w string, o int, c long, d long").repartition(3)
+    want = {}
+    for w, o, i, x, y in a:
+        for v, p, c, d in b:
+            if w and (w, o) == (v, p) and None not in (x, y, c, d) and x < y and c < d and x < d and c < y:
+                count, shared = want.get((i, w), (0, 0))
+                want[i, w] = (count + 1, shared + min(y, d) - max(x, c))
+    got = timeline.overlap_totals(left, right, ["w", "o"], ("a", "b"), ("c", "d"), ["i", "w"])
+    assert got.columns == ["i", "w", "n", "shared"]
+    assert rows(got) == sorted(((*k, *v) for k, v in want.items()), key=repr) and (want or n < 2)
+
+
+def test_overlap_totals_make_no_pairs(spark):
+    """All of 60 000 spans lie over all of 60 000 others: 3.6e9 pairs."""
+    spans = spark.range(60_000).select(F.lit("w").alias("w"), "id", F.lit(0).alias("a"), (F.col("id") + 1).alias("b"))
+    got = timeline.overlap_totals(spans, spans.toDF("w", "j", "c", "d"), ["w"], ("a", "b"), ("c", "d"), ["w"]).collect()
+    n = 60_000
+    assert [tuple(r) for r in got] == [("w", n * n, n * (n + 1) * (2 * n + 1) // 6)]
+
+
+def test_cells_of_long_spans_are_not_broadcast(spark):
+    """A span becomes many cells, but Spark guesses their size from the spans."""
+    left = spark.range(50).select(F.lit("w").alias("w"), F.col("id").alias("i"), F.lit(1).alias("a"), F.lit(2**39 - 1).alias("b"))
+    plan = timeline.overlaps(left, left.toDF("w", "j", "c", "d"), ["w"], ("a", "b"), ("c", "d"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_overlaps_refuse_what_they_cannot_tell_apart(spark):
     left = spark.createDataFrame([("w", 0, 2**41)], "w string, a long, b long")
     with pytest.raises(ValueError):
