@@ -25,7 +25,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: texts linked by a Jaccard similarity of 0.8 or more of their five-word shingles."""
+    """One row of each group of near copies: texts linked by a Jaccard similarity of 0.8 or more of their five-word shingles.
+
+    SimHash proposes the closest copies, a prefix filter all others.
+    """
     _python_steps(spark)
     return near_copies.keep_one(docs)
 
@@ -52,7 +55,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii_redaction", pii_redaction), ("packing", pack)]
-#: Banded minima, boosted trees and the dynamic program have no SQL; tests/llm compares with brute force.
+#: Fingerprints, shared prefixes, boosted trees and the dynamic program have no SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 

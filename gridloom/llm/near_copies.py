@@ -1,4 +1,8 @@
-"""Near copies by the Jaccard similarity of word shingles: a prefix filter proposes pairs, the texts themselves decide.
+"""Near copies by SimHash and by the Jaccard similarity of word shingles.
+
+The SimHash join of `simhash` comes first: every text of a component of linked fingerprints is compared with the first one
+there. Fingerprints a few bits apart reach only the closest copies, so a prefix filter then proposes the other pairs. The
+texts themselves decide, whoever proposed a pair.
 
 In any one order of all shingles, two texts of similarity `SIMILAR` share one of the first fifth plus one of the shingles
 of each (the prefix). The order used puts common shingles last, so texts that only share a passage, a line or a template
@@ -27,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm import simhash
 from gridloom.llm.common import broadcast_if_small, free_name, written
 from gridloom.operators.components import connected_components
 
@@ -104,17 +109,18 @@ def prefix(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame, text: str, table: np.ndarray) -> DataFrame:
-    """Adds digest (equal for texts of the same words), size, prefix and sketch."""
+    """Adds digest (equal for texts of the same words), fp (SimHash), size, prefix and sketch."""
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
-    @F.pandas_udf("digest binary, size int, prefix array<long>, sketch array<long>")
+    @F.pandas_udf("digest binary, fp long, size int, prefix array<long>, sketch array<long>")
     def keyed(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             h = hashed(t)
             flips = np.bincount(h & (BITS - 1), minlength=BITS) & 1
-            rows.append((xxhash.xxh128_digest(b" ".join(_words(t))), len(h), prefix(h, sent.value), np.packbits(flips.astype(np.uint8)).view(np.int64)))
-        return pd.DataFrame(rows, columns=["digest", "size", "prefix", "sketch"])
+            fp = np.uint64(simhash.fingerprint(t)).view(np.int64)
+            rows.append((xxhash.xxh128_digest(b" ".join(_words(t))), fp, len(h), prefix(h, sent.value), np.packbits(flips.astype(np.uint8)).view(np.int64)))
+        return pd.DataFrame(rows, columns=["digest", "fp", "size", "prefix", "sketch"])
 
     return docs.withColumn("keyed", keyed(text)).select("*", "keyed.*").drop("keyed")
 
@@ -144,14 +150,28 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").where(similar("text_u", "text_v")).select("u", "v")
 
 
-def links(nodes: DataFrame, texts: DataFrame, stars: tuple[int, int] = STARS) -> DataFrame:
-    """u, v: links whose components are those of all similar pairs. nodes: node, size, prefix, sketch."""
+def fingerprint_links(nodes: DataFrame) -> DataFrame:
+    """u, v: pairs proposed by SimHash, each node and the first one of its component of linked fingerprints. nodes: node, fp."""
+    top = simhash.components(nodes.select("fp", "node"), [F.min("node")], ["top"])
+    tied = nodes.select("fp", "node").join(top, "fp").where("node != top")
+    return tied.select(F.col("node").alias("u"), F.col("top").alias("v"))
+
+
+def links(nodes: DataFrame, texts: DataFrame, stars: tuple[int, int] = STARS, known: DataFrame | None = None) -> DataFrame:
+    """u, v: links whose components are those of all similar pairs and of the `known` links (u and the first v of its component).
+
+    nodes: node, size, prefix, sketch.
+    """
     looks = nodes.select("node", F.struct("size", "sketch").alias("look"))
     side = lambda name: looks.select(F.col("node").alias(name), F.col("look").alias(f"look_{name}"))
     places = nodes.select("node", F.explode("prefix").alias("key"))
     shared = places.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    rows = written(places.join(shared, "key").select("key", "node", F.col("node").alias("component")), "buckets")
-    found = rows.select(F.col("node").alias("u"), F.col("node").alias("v")).where("false")
+    rows = places.join(shared, "key").select("key", "node", F.col("node").alias("component"))
+    if known is not None:
+        first = known.select(F.col("u").alias("node"), F.col("v").alias("top"))
+        rows = rows.join(first, "node", "left").select("key", "node", F.coalesce("top", "node").alias("component"))
+    rows = written(rows, "buckets")
+    found = rows.select(F.col("node").alias("u"), F.col("node").alias("v")).where("false") if known is None else known
     left, turn = rows.count(), 0
     while turn < stars[1]:
         centre = rows.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", "key", F.lit(turn))).alias("c"))
@@ -185,13 +205,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     row = free_name(docs.columns, "row")
     packed = docs.select(F.struct("*").alias(row), F.monotonically_increasing_id().alias("row_no"), F.col("doc_id").alias("by_id"))
-    packed = written(_keyed(packed, f"{row}.text", frequencies(docs.select("text"))), "keyed")
+    packed = written(_keyed(packed, f"{row}.text", frequencies(docs.select("text"))), "keyed", "zstd")  # texts, the most of the disk
     order = F.struct(F.col("by_id").isNull().alias("last"), "by_id", "row_no")
     tops = written(packed.groupBy("digest").agg(F.min(order).alias("first")).select("first", F.col("first.row_no").alias("node")), "distinct-texts")
     heads = broadcast_if_small(tops.select("node"), SMALL_ROWS)
-    nodes = packed.join(heads, F.col("row_no") == F.col("node"), "left_semi").select(F.col("row_no").alias("node"), "size", "prefix", "sketch")
+    nodes = packed.join(heads, F.col("row_no") == F.col("node"), "left_semi").select(F.col("row_no").alias("node"), "fp", "size", "prefix", "sketch")
     texts = packed.select(F.col("row_no").alias("node"), F.col(f"{row}.text").alias("text"))
-    linked = connected_components(links(nodes, texts))
+    known = written(_similar(fingerprint_links(nodes), texts), "similar")
+    linked = connected_components(links(nodes, texts, known=known))
     rooted = tops.join(linked, "node", "left").select("first", F.coalesce("component", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_no").alias("row_no"))
     return packed.join(kept, "row_no", "left_semi").select(f"{row}.*")

@@ -4,8 +4,9 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import Window
 
-from gridloom.llm import near_copies
+from gridloom.llm import near_copies, simhash
 
 WORDS = "the of onan erst thea ingre tion heat wh ou re ndst blethe inor".split()
 
@@ -88,3 +89,19 @@ def test_texts_that_share_a_passage_do_not_meet(spark):
         sizes.append(keys.where("count > 1").count())
         assert near_copies.links(nodes, docs).count() == 0
     assert sizes == [0, 0]
+
+
+def test_fingerprints_propose_the_closest_copies(spark, monkeypatch):
+    """Long texts with one odd word meet by SimHash; a pair that it alone proposes is still compared by its texts."""
+    texts = [prose(21, 2000), edited(prose(21, 2000), 1, 1), prose(23, 200), prose(24, 200)]
+    prints = [simhash.fingerprint(t) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 3 < (prints[2] ^ prints[3]).bit_count()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = near_copies.frequencies(docs.select("text"))
+    nodes = near_copies._keyed(docs.withColumnRenamed("doc_id", "node"), "text", table)
+    assert [tuple(r) for r in near_copies.fingerprint_links(nodes).collect()] == [(1, 0)]
+    monkeypatch.setattr(near_copies, "prefix_size", lambda n: 0)  # SimHash alone
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == [0, 2, 3]
+    wrong = lambda nodes: nodes.select(near_copies.F.col("node").alias("u"), near_copies.F.min("node").over(Window.partitionBy()).alias("v")).where("u != v")
+    monkeypatch.setattr(near_copies, "fingerprint_links", wrong)
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == [0, 2, 3]
