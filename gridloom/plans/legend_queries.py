@@ -324,7 +324,7 @@ with recursive u as (select *, has_conflict or n_counts>1 unsure from fx_merged)
 
 def reconciled(spark, d):
     rows, totals = merged(spark, d)
-    return ops.reconcile_counts(cut_lineage(rows), totals, expected(spark, d))
+    return ops.reconcile_counts(rows, totals, expected(spark, d))
 
 
 @query("reconcile_counts", _RECONCILE + 'select group_id, color_key, cast(cnt as bigint) as "count", count_source, distance from f')
@@ -346,8 +346,8 @@ _FINAL = _RECONCILE + """
 
 
 def _final(spark, d):
-    counts, status = reconciled(spark, d)
-    return ops.final_legend(counts, status)
+    rows, totals = merged(spark, d)
+    return ops.final_of_groups(ops.reconcile_groups(rows, totals, expected(spark, d)))
 
 
 @query("final_legend", _FINAL + "select * from fin")
