@@ -184,7 +184,8 @@ def delete_warehouses(
     checked = asked.join(known, "warehouse_id", "left").join(bound, "warehouse_id", "left").withColumn(
         "reason", F.when(F.col("_known").isNull(), "unknown_warehouse").when(F.col("n_projects") > 0, "bound_to_project")
     )
-    gone = checked.where("reason is null").select("warehouse_id")
+    # The same few keys are taken from every table: with them broadcast, no table is moved to as many places as it has warehouses.
+    gone = lookup_side(checked.where("reason is null").select("warehouse_id"), asked)
     kept = [t.join(gone, "warehouse_id", "left_anti") for t in (warehouses, items, transactions)]
     violations = checked.where("reason is not null").select("warehouse_id", "reason", F.coalesce("n_projects", F.lit(0)).alias("n_projects"))
     return (*kept, violations)

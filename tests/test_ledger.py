@@ -146,3 +146,15 @@ def test_upsert_keeps_creation_time(spark, rows):
     old = spark.createDataFrame([("a", "old", 1), ("b", "keep", 2)], "warehouse_id string, name string, created_at int")
     new = spark.createDataFrame([("a", "new", 9), ("c", "add", 9)], "warehouse_id string, name string, created_at int")
     assert rows(ledger.upsert_warehouses(old, new)) == [("a", "new", 1), ("b", "keep", 2), ("c", "add", 9)]
+
+
+def test_deleted_warehouses_are_taken_out_without_moving_the_tables(spark, rows):
+    wh = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "warehouse_id int, name string")
+    txns = spark.createDataFrame([(1, 1), (2, 2), (2, 3), (3, 4), (None, 5)], "warehouse_id int, txn_id int")
+    projects = spark.createDataFrame([(3, 1)], "warehouse_id int, project_id int")
+    asked = spark.createDataFrame([(2,), (3,), (9,)], "warehouse_id int")
+    kept_wh, _items, kept, violations = ledger.delete_warehouses(wh, txns, txns, projects, asked)
+    assert rows(kept, "txn_id") == [(1,), (4,), (5,)] and rows(kept_wh, "warehouse_id") == [(1,), (3,)]
+    assert rows(violations, "warehouse_id", "reason") == [(3, "bound_to_project"), (9, "unknown_warehouse")]
+    plan = kept.hint("merge")._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
