@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from gridloom.functions.colors import clamp
 from gridloom.lineage import cut_lineage
+from gridloom.operators.sizing import lookup_side
 
 # Fixed values of the fit.
 PITCH_BIN = 0.25
@@ -62,16 +63,17 @@ def _axis_neighbours(places: DataFrame, along: str, across: str, lo: Column, hi:
 
 def estimate_pitch(points: DataFrame, images: DataFrame, size: int) -> DataFrame:
     """(image_id, pitch): the most frequent distance between row or column neighbours, refined by a median."""
-    spans = images.select("image_id", *[c.alias(n) for n, c in _span(size).items()])
+    spans = lookup_side(cut_lineage(images.select("image_id", *[c.alias(n) for n, c in _span(size).items()])))
+    # Distances and places come from many points: only what has one row per image is broadcast.
     places = _weighted(points).join(spans, "image_id")
     args = (F.col("_lo"), F.col("_hi"), F.col("_tol"))
-    distances = _axis_neighbours(places, "x", "y", *args).unionAll(_axis_neighbours(places, "y", "x", *args))
+    distances = cut_lineage(_axis_neighbours(places, "x", "y", *args).unionAll(_axis_neighbours(places, "y", "x", *args)))
     edges = F.ceil((F.col("_hi") + PITCH_BIN - F.col("_lo")) / PITCH_BIN)
     index = F.least(F.floor((F.col("d") - F.col("_lo")) / PITCH_BIN), edges - 2)
     binned = distances.join(spans, "image_id").withColumn("_bin", index)
     counts = binned.groupBy("image_id", "_lo", "_bin").agg(F.sum("n").alias("_n"))
     best = counts.groupBy("image_id", "_lo").agg(F.min_by("_bin", F.struct(-F.col("_n"), F.col("_bin"))).alias("_bin"))
-    first = best.select("image_id", (F.col("_lo") + (F.col("_bin") + 0.5) * PITCH_BIN).alias("_p"))
+    first = lookup_side(cut_lineage(best.select("image_id", (F.col("_lo") + (F.col("_bin") + 0.5) * PITCH_BIN).alias("_p"))))
     reach = F.greatest(F.lit(0.8), F.col("_p") * F.lit(0.035))
     near = distances.join(first, "image_id").where(F.abs(F.col("d") - F.col("_p")) <= reach)
     middle = near.groupBy("image_id").agg(F.percentile("d", F.lit(0.5), F.col("n")).alias("_m"))
@@ -100,13 +102,13 @@ def _mean_shift(values: DataFrame, phases: DataFrame, keys: list[str], reach: Co
 def fit_phase(points: DataFrame, pitches: DataFrame) -> DataFrame:
     """(image_id, axis, pitch, phase): the fullest of 160 residue bins, moved to its neighbourhood's mean."""
     values = _long(points)
-    mods = values.join(pitches, "image_id").withColumn(
+    mods = values.join(lookup_side(cut_lineage(pitches)), "image_id").withColumn(
         "_bin", F.least(F.lit(PHASE_BINS - 1), F.floor(F.pmod(F.col("v"), F.col("pitch")) * PHASE_BINS / F.col("pitch")))
     )
     counts = mods.groupBy("image_id", "axis", "pitch", "_bin").agg(F.count(F.lit(1)).alias("_n"))
     best = counts.groupBy("image_id", "axis", "pitch").agg(F.min_by("_bin", F.struct(-F.col("_n"), F.col("_bin"))).alias("_bin"))
     first = best.select("image_id", "axis", "pitch", ((F.col("_bin") + 0.5) * F.col("pitch") / PHASE_BINS).alias("_phase"))
-    return _mean_shift(values, first, ["image_id", "axis"], F.greatest(F.lit(2.0), F.col("pitch") * F.lit(0.10)))
+    return _mean_shift(values, lookup_side(cut_lineage(first)), ["image_id", "axis"], F.greatest(F.lit(2.0), F.col("pitch") * F.lit(0.10)))
 
 
 def lattice_counts(points: DataFrame, phases: DataFrame) -> DataFrame:
@@ -130,7 +132,7 @@ def best_window(counts: DataFrame, size: int, keys: list[str] | None = None) ->
 
 def initial_fit(points: DataFrame, images: DataFrame, size: int) -> DataFrame:
     """(image_id, origin_x, origin_y, pitch) before refinement."""
-    phases = cut_lineage(fit_phase(points, estimate_pitch(points, images, size)))
+    phases = lookup_side(cut_lineage(fit_phase(points, estimate_pitch(points, images, size))))
     windows = best_window(lattice_counts(points, phases), size)
     origin = F.col("phase") + F.coalesce("start", F.lit(0)) * F.col("pitch")
     axes = phases.join(windows, ["image_id", "axis"], "left").select("image_id", "axis", "pitch", origin.alias("_o"))
@@ -178,9 +180,13 @@ def _solve(occupied: DataFrame, fits: DataFrame) -> DataFrame:
 
 
 def refine_lattice(points: DataFrame, fits: DataFrame, size: int, rounds: int = REFINE_ROUNDS) -> DataFrame:
-    """Alternate assignment and least squares. The fits, one row per image, are written each round."""
+    """Alternate assignment and least squares. The fits, one row per image, are written each round.
+
+    Few fits are broadcast, so that the points are not, whatever size Spark expects them to have.
+    """
+    fits = lookup_side(cut_lineage(fits))
     for _ in range(rounds):
-        fits = cut_lineage(_solve(assign_cells(points, fits, size), fits))
+        fits = lookup_side(cut_lineage(_solve(assign_cells(points, fits, size), fits)))
     return fits
 
 
@@ -210,6 +216,7 @@ def fit_confidence(points: DataFrame, fits: DataFrame, occupied: DataFrame, size
 def fit_lattice(points: DataFrame, images: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """Fitted boards, and images with too few points or no usable distance."""
     enough = points.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"))
+    enough = lookup_side(cut_lineage(enough))
     usable = points.join(enough.where(F.col("_n") >= MINIMUM_POINTS), "image_id", "left_semi")
     fits = refine_lattice(usable, initial_fit(usable, images, size), size)
     result = fit_confidence(usable, fits, assign_cells(usable, fits, size), size)

@@ -73,3 +73,14 @@ def test_components_keep_large_two_dimensional_parts(spark, rows):
     kept = lattice.filter_lattice_components(df)
     assert {tuple(r) for r in kept.where("place = 1").select("row_idx", "col_idx").collect()} == set(block + other)
     assert kept.where("place = 2").count() == 2
+
+
+def test_fits_are_broadcast_and_points_are_not(spark):
+    from gridloom.operators import lattice as ops
+
+    points = spark.range(400).selectExpr("1 image_id", "id idx", "10D + id % 20 * 20 x", "10D + floor(id / 20) * 20 y")
+    start = spark.createDataFrame([(1, 10.5, 9.5, 20.0)], "image_id int, origin_x double, origin_y double, pitch double")
+    fits = ops.refine_lattice(points, start, 20, 1)
+    assert "strategy=broadcast" in fits._jdf.queryExecution().analyzed().toString()
+    r = fits.first()
+    assert (round(r.origin_x, 6), round(r.origin_y, 6), round(r.pitch, 6)) == (10.0, 10.0, 20.0)
