@@ -2,6 +2,7 @@
 
 import json
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -100,6 +101,19 @@ def test_remembered_units_give_the_ids_of_whole_texts(texts):
     ENCODER._forget()
 
 
+def test_long_text_makes_no_object_a_word():
+    text = "harbour lights\n" * 300_000
+    want = expected(["harbour lights"], tok=PLAIN)[0][:-1]
+    ENCODER.encode(["harbour lights"])
+    tracemalloc.start()
+    (raw,) = ENCODER.encode([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    ids = np.frombuffer(raw, "<u2")
+    assert (ids[:-1].reshape(-1, len(want)) == want).all() and ids[-1] == 2 and len(ids) == 300_000 * len(want) + 1
+    assert peak - len(text) < 600_000 * 50  # a string alone takes over 50 bytes
+
+
 def test_whole_documents():
     table = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
     assert [np.frombuffer(x, "<u2").tolist() for x in ENCODER.encode(table.text.tolist())] == expected(table.text, tok=PLAIN)
