@@ -3,6 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.lineage import scratch_path
+from gridloom.plans import stream_queries
 from gridloom.streaming import ledger_stream
 
 SCHEMA = "event_id bigint, seq bigint, warehouse_id string, color_key string, delta bigint, created_at timestamp"
@@ -112,3 +114,20 @@ def test_stream_whose_own_commit_is_lost(spark, tmp_path, rows):
     write(spark, source, [(4, 4, "w", "B", 2, "2024-01-01 00:00:00")])
     run()
     assert rows(ledger_stream.current_balances(spark, out)) == [("w", "A", 12, 3), ("w", "B", 9, 4)]
+
+
+def test_batches_do_not_grow_with_the_files(spark, tmp_path, rows):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartitionByRange(9, "event_id").write.parquet(str(tmp_path / "in" / "events.parquet"))
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "200m")  # a partition a file
+    try:
+        stream = stream_queries.event_stream(spark, str(tmp_path / "in"))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    out, checkpoint = str(tmp_path / "out"), scratch_path(spark, "stream")
+    ledger_stream.run_ledger_stream(stream, out, checkpoint)
+    assert len([r for r in spark.read.text(f"{checkpoint}/commits").select("_metadata.file_name").distinct().collect()]) == 2
+    keys = [(F.col("user_id") % 10).alias("w"), (F.col("event_id") % 96).cast("int").alias("c")]
+    want = events.groupBy(*keys).agg(F.max("event_id"))
+    assert rows(ledger_stream.current_balances(spark, out).drop("balance")) == rows(want)
