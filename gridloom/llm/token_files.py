@@ -11,8 +11,8 @@ the manifest, which Spark commits once per task, says which files count: a lost
 most files that nobody reads.
 
 Where white space always ends a token and is dropped, as `splits_at_spaces` reads from the tokenizer's own settings, the
-ids of a text are those of its words in a row; each worker then encodes a word once and remembers it, and Arrow and numpy
-put the ids of words together to those of texts.
+ids of a text are those of its words in a row; each worker then encodes a word, or the letters and signs in it, once and
+remembers them, and Arrow and numpy cut the texts and put the ids together.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from gridloom.llm.elias_fano import EliasFano, encode
 
@@ -39,9 +40,9 @@ END_ID = 2
 #: Ids after which a task starts a new file, and documents read at once; both bound memory.
 FILE_IDS, READ_DOCS = 16_000_000, 2_000
 READ_IDS = 4_000_000
-#: Bytes of words and ids that a worker remembers, at about so many an entry; beyond, it starts anew.
-REMEMBERED, ENTRY = 240_000_000, 170
-#: Code points of texts encoded together.
+#: Bytes of parts of words and ids that a worker remembers, at about so many an entry; beyond, it starts anew.
+REMEMBERED, ENTRY = 240_000_000, 140
+#: Bytes of texts encoded together, if more than one.
 TOGETHER = 3_000_000
 MANIFEST = "part int, file_no int, path string, n_docs long, n_ids long, first_doc long, last_doc long"
 
@@ -64,105 +65,131 @@ def splits_at_spaces(settings: dict) -> bool:
     return all((p["type"], p.get("add_prefix_space")) == ("ByteLevel", False) for p in pre[1:]) and not settings["truncation"] and not settings["padding"]
 
 
-#: Letters that stay single letters under NFC and lower-casing, and words made of them and ASCII signs but the apostrophe.
+#: Letters that stay single letters under NFC and lower-casing.
 LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
-PLAIN = re.compile(f"[!-&(-~{LATIN}]+")
-PARTS = re.compile(f"[{LATIN}]+|[^{LATIN}]+")
 LETTERS = re.compile(f"[{LATIN}]+")
-#: Runs of letters encoded in one call.
-RUNS = 2_000
+PARTS = re.compile(f"[{LATIN}]+|[^{LATIN}]+")
+#: Kinds of UTF-8 bytes: between words, in `LATIN`, ASCII signs but the apostrophe; words with others are encoded as they are.
+SPACE, LETTER, SIGN, OTHER = range(4)
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[[ord(" "), ord("\n")]] = SPACE
+KINDS[ord("!") : ord("~") + 1] = SIGN
+KINDS[ord("'")] = OTHER
+KINDS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = LETTER
+KINDS[0x80:0xC0] = KINDS[0xC3:0xC9] = LETTER  # U+00C0 to U+023F begin with C3 to C8
+#: Two signs and a letter that lower-casing takes apart lie among them.
+NO_LETTERS = [(0xC3, [0x97, 0xB7]), (0xC4, [0xB0])]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 class Encoder:
     """Ids of texts as bytes, `dtype` numbers with the end id last.
 
-    A word of Latin letters and ASCII signs is cut further, since a run of letters is always a unit of its own. New runs
-    are encoded many at a time, and the ids that carry the end-of-word mark say where each ends.
+    A word of Latin letters and ASCII signs is cut further, since a run of letters is always a unit of its own. Numpy finds
+    these parts among the bytes of many texts, Arrow counts equal ones once, and only parts not seen before are encoded: runs
+    of letters, which the pre-tokenizer would leave whole, by the tokenizer's model, all others by the tokenizer.
     """
 
     def __init__(self, settings: str, end_id: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(settings)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        top = max([*vocabulary.values(), end_id or 0])
+        top = max([*self.tokenizer.get_vocab(with_added_tokens=True).values(), end_id or 0])
         self.dtype = "<u2" if top < 2**16 else "<u4"
         self.end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
         info = json.loads(settings)
-        self.by_word = splits_at_spaces(info)
-        self.marked = re.compile("|".join(re.escape(a["content"]) for a in info["added_tokens"]) or "(?!)").search
-        mark = info["model"].get("end_of_word_suffix")
-        self.ends = np.zeros(top + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if mark and t.endswith(mark)]] = True
+        self.added = [a["content"] for a in info["added_tokens"]]
+        # an added token that is one part would be found in what was cut or lower-cased
+        self.by_word = splits_at_spaces(info) and all(len(PARTS.findall(a)) > 1 for a in self.added)
+        self.marked = re.compile("|".join(map(re.escape, self.added)).encode())
         self.lowered = any(n["type"] == "Lowercase" for n in _parts(info["normalizer"], "normalizers"))
+        self.byte_levels = [ByteLevel(add_prefix_space=False, use_regex=False)] * (len(_parts(info["pre_tokenizer"], "pretokenizers")) - 1)
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, bytes] = {"": b""}
-        self.units: dict[str, bytes] = {}
+        self.known: dict[bytes, int] = {}  # parts and their places in `ids`
+        self.ids = pa.array([], pa.large_binary())
         self.size = 0
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _runs(self, runs: list[str]) -> list[bytes]:
-        """Ids of runs of letters."""
-        ids = np.array(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, self.dtype)
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(runs):  # no such mark, or a run that is no unit
-            return self._raw(runs)
-        raw, at = ids.tobytes(), [0, *(cuts * ids.itemsize).tolist()]
-        return [raw[a:b] for a, b in zip(at, at[1:])]
-
-    def _learn(self, words: list[str]) -> None:
-        runs, cut, whole = {}, {}, []  # a word that is one run, words of several units, and words to be encoded as they are
-        for w in words:
-            if w.isascii():
-                key = w.lower() if self.lowered else w
-                if w.isalpha():
-                    runs[w] = key
-                    continue
-            else:
-                key = w
-            if PLAIN.fullmatch(w) and not self.marked(w):
-                cut[w] = PARTS.findall(key)
-            else:
-                whole.append(w)
-        units = self.units
-        new = {*runs.values(), *chain.from_iterable(cut.values())}.difference(units)
-        letters = [u for u in new if LETTERS.match(u)]
-        signs = list(new.difference(letters))
-        before = len(units) + len(self.known)
-        for i in range(0, len(letters), RUNS):
-            some = letters[i : i + RUNS]
-            units.update(zip(some, self._runs(some)))
-        units.update(zip(signs, self._raw(signs)))
-        self.known.update(zip(runs, map(units.__getitem__, runs.values())))
-        self.known.update((w, b"".join([units[u] for u in parts])) for w, parts in cut.items())
-        self.known.update(zip(whole, self._raw(whole)))
-        self.size += (len(units) + len(self.known) - before) * ENTRY + 3 * sum(map(len, whole))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _spelled(self, runs: list[str]) -> list[str]:
+        """Runs of letters as the model reads them."""
+        text = " ".join(runs)
+        if self.tokenizer.normalizer:
+            text = self.tokenizer.normalizer.normalize_str(text)
+        gap = " "
+        for level in self.byte_levels:
+            text, gap = ("".join(piece for piece, _ in level.pre_tokenize_str(t)) for t in (text, gap))
+        return text.split(gap)
+
+    def _learn(self, parts: list[bytes]) -> None:
+        texts = b" ".join(parts).decode().split(" ")
+        runs = [t for t in texts if not t.isascii() and LETTERS.fullmatch(t)]
+        spelled = dict(zip(runs, self._spelled(runs), strict=True)) if runs else {}
+        others = [t for t in texts if not (t.isascii() and t.isalpha()) and t not in spelled]
+        ids = dict(zip(others, self._ids(others)))
+        tokenize = self.tokenizer.model.tokenize
+        new = [ids[t] if t in ids else [x.id for x in tokenize(spelled.get(t, t))] for t in texts]
+        ends = np.cumsum([0, *map(len, new)])
+        flat = np.fromiter(chain.from_iterable(new), self.dtype, ends[-1])
+        coded = pa.Array.from_buffers(pa.large_binary(), len(new), [None, pa.py_buffer(ends * flat.itemsize), pa.py_buffer(flat)])
+        self.known.update(zip(parts, range(len(self.ids), len(self.ids) + len(new))))
+        self.ids = pa.concat_arrays([self.ids, coded])
+        self.size += len(parts) * ENTRY + 3 * sum(map(len, parts))
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The parts of all texts in a row, and how many lie before each text and after the last."""
+        lines = pc.binary_join_element_wise(texts, pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()), null_handling="replace")
+        begins = np.frombuffer(lines.buffers()[1], np.int64)[: len(lines) + 1]
+        data = np.frombuffer(lines.buffers()[2], np.uint8)[: begins[-1]]
+        kinds = KINDS[data]
+        odd = [np.flatnonzero(kinds == OTHER)]
+        for lead, after in NO_LETTERS:
+            at = np.flatnonzero(data == lead)
+            odd.append(at[np.isin(data[at + 1], after)])
+        if any(pc.any(pc.match_substring(lines, a)).as_py() for a in self.added):
+            odd.append(np.array([m.start() for m in self.marked.finditer(data.tobytes())], np.int64))
+        odd, given = np.concatenate(odd), data
+        data = LOWER[data] if self.lowered else data
+        if len(odd):
+            spaces = np.flatnonzero(kinds == SPACE)
+            word = np.unique(np.searchsorted(spaces, odd))
+            first = np.concatenate([[0], spaces[:-1] + 1])[word]
+            size = spaces[word] - first
+            inside = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+            kinds[inside] = OTHER
+            if self.lowered:
+                data[inside] = given[inside]
+        solid = kinds != SPACE
+        starts = solid.copy()
+        starts[1:] &= kinds[1:] != kinds[:-1]
+        before = np.searchsorted(np.flatnonzero(starts), begins)
+        data, starts = data[solid], starts[solid]
+        places = np.append(np.flatnonzero(starts), len(data))
+        return pa.Array.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(data)]), before
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         if not self.by_word:
-            return [raw + self.end for raw in self._raw([t or "" for t in texts])]
+            texts = texts.to_pylist() if isinstance(texts, pa.Array) else texts
+            return [np.array(ids, self.dtype).tobytes() + self.end for ids in self._ids([t or "" for t in texts])]
         if self.size > REMEMBERED:
             self._forget()
-        split = pc.split_pattern(pc.replace_substring(pa.array([t or "" for t in texts], pa.large_string()), "\n", " "), " ")
-        coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
-        # a word is looked up once; its ids are then copied to all its places
-        ids = [*map(self.known.get, words)]
-        new = [i for i, known in enumerate(ids) if known is None]
-        if new:
-            self._learn([words[i] for i in new])
-            for i in new:
-                ids[i] = self.known[words[i]]
-        table = np.frombuffer(b"".join(ids), self.dtype)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // table.itemsize
-        at = coded.indices.to_numpy()
-        upto = np.concatenate([[0], np.cumsum(sizes[at])])
-        raw = table[np.repeat((np.cumsum(sizes) - sizes)[at] - upto[:-1], sizes[at]) + np.arange(upto[-1])].tobytes()
-        bounds = (upto[split.offsets.to_numpy()] * table.itemsize).tolist()
-        return [raw[a:b] + self.end for a, b in zip(bounds, bounds[1:])]
+        parts, before = self._cut(texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        if not len(parts):
+            return [self.end] * len(texts)
+        coded = parts.dictionary_encode()
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
+        # a part is looked up once; its ids are then copied to all its places
+        place = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = np.arange(len(self.ids), len(self.ids) + len(new))
+            self._learn([keys[i] for i in new.tolist()])
+        _, ends, raw = self.ids.take(pa.array(place).take(coded.indices)).buffers()
+        bounds, raw = np.frombuffer(ends, np.int64)[before].tolist(), memoryview(raw)
+        return [b"".join((raw[a:b], self.end)) for a, b in zip(bounds, bounds[1:])]
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -266,13 +293,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = END
         def coded_rows() -> Iterator[tuple[int | None, bytes]]:
             """The rows' ids, some texts at a time."""
             for batch in batches:
-                texts, names, some, chars = batch.column("text"), batch.column("doc_id").to_pylist(), [], 0
-                for i, doc_id in enumerate(names):
-                    some.append((doc_id, texts[i].as_py()))
-                    chars += len(some[-1][1] or "")
-                    if chars > TOGETHER or i + 1 == len(names):
-                        yield from zip([d for d, _ in some], encoder.encode([t for _, t in some]))
-                        some, chars = [], 0
+                texts, names, first = batch.column("text"), batch.column("doc_id").to_pylist(), 0
+                upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+                while first < len(names):
+                    most = TOGETHER + (upto[first - 1] if first else 0)
+                    stop = max(first + 1, int(np.searchsorted(upto, most, "right")))
+                    yield from zip(names[first:stop], encoder.encode(texts.slice(first, stop - first)))
+                    first = stop
 
         for doc_id, coded in coded_rows():
             if ends and total + len(coded) // width > file_ids:

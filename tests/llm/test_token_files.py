@@ -126,3 +126,28 @@ def test_words_are_encoded_alone_only_where_that_is_proven():
     other = given(WORD)
     other["normalizer"]["normalizers"].append({"type": "Strip"})
     assert not token_files.splits_at_spaces(other)
+
+
+def test_letters_are_learnt_once_whatever_their_case_and_signs():
+    encoder = token_files.Encoder(open(WORD, encoding="utf-8").read(), 2)
+    texts = ["Harbour, harbour. (HARBOUR)\nharbour!!", "Été harbour; harbour-harbour", None, "it's harbour"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == expected(texts, tok=PLAIN)
+    assert sorted(encoder.known) == sorted([b"harbour", *b", . ( ) !! ; -".split(), "Été".encode(), b"it's"])
+
+
+def test_an_added_token_of_letters_is_not_found_in_other_case(tmp_path):
+    settings = json.load(open(WORD))
+    settings["added_tokens"].append({**settings["added_tokens"][0], "id": PLAIN.token_to_id("stop"), "content": "stop"})
+    path = tmp_path / "added.json"
+    path.write_text(json.dumps(settings))
+    texts = ["STOP here", "stop here, unstopped", "Stop"]
+    ids = [np.frombuffer(x, "<u2").tolist() for x in token_files.Encoder(path.read_text(), 2).encode(texts)]
+    assert ids == expected(texts, str(path)) and ids[1][0] == PLAIN.token_to_id("stop") not in ids[0]
+
+
+def test_every_letter_and_sign_alone_and_among_others():
+    chars = [chr(c) for c in range(1, 0x600) if not 0xD800 <= c < 0xE000]
+    texts = [f"{c} a{c}B {c}{c.upper()}, x.{c}" for c in chars]
+    texts = [*texts, "".join(chars), " ".join(chars)]
+    assert [np.frombuffer(x, "<u2").tolist() for x in ENCODER.encode(texts)] == expected(texts, tok=PLAIN)
+    ENCODER._forget()
