@@ -42,7 +42,7 @@ FILE_IDS, READ_DOCS = 16_000_000, 2_000
 READ_IDS = 4_000_000
 #: Bytes of parts of words and ids that a worker remembers, at about so many an entry; beyond, it starts anew.
 REMEMBERED, ENTRY = 240_000_000, 140
-#: Bytes of texts encoded together, if more than one.
+#: Bytes of texts encoded together; a longer text is encoded by stretches of at least so many code points.
 TOGETHER = 3_000_000
 MANIFEST = "part int, file_no int, path string, n_docs long, n_ids long, first_doc long, last_doc long"
 
@@ -69,6 +69,7 @@ def splits_at_spaces(settings: dict) -> bool:
 LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 LETTERS = re.compile(f"[{LATIN}]+")
 PARTS = re.compile(f"[{LATIN}]+|[^{LATIN}]+")
+GAP = re.compile("[ \n]")
 #: Kinds of UTF-8 bytes: between words, in `LATIN`, ASCII signs but the apostrophe; words with others are encoded as they are.
 SPACE, LETTER, SIGN, OTHER = range(4)
 KINDS = np.full(256, OTHER, np.uint8)
@@ -170,15 +171,12 @@ class Encoder:
         places = np.append(np.flatnonzero(starts), len(data))
         return pa.Array.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(data)]), before
 
-    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
-        if not self.by_word:
-            texts = texts.to_pylist() if isinstance(texts, pa.Array) else texts
-            return [np.array(ids, self.dtype).tobytes() + self.end for ids in self._ids([t or "" for t in texts])]
+    def _by_parts(self, texts: pa.Array) -> list[bytes]:
         if self.size > REMEMBERED:
             self._forget()
-        parts, before = self._cut(texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        parts, before = self._cut(texts)
         if not len(parts):
-            return [self.end] * len(texts)
+            return [b""] * len(texts)
         coded = parts.dictionary_encode()
         keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
         # a part is looked up once; its ids are then copied to all its places
@@ -189,7 +187,25 @@ class Encoder:
             self._learn([keys[i] for i in new.tolist()])
         _, ends, raw = self.ids.take(pa.array(place).take(coded.indices)).buffers()
         bounds, raw = np.frombuffer(ends, np.int64)[before].tolist(), memoryview(raw)
-        return [b"".join((raw[a:b], self.end)) for a, b in zip(bounds, bounds[1:])]
+        return [bytes(raw[a:b]) for a, b in zip(bounds, bounds[1:])]
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        if not self.by_word:
+            return [np.array(ids, self.dtype).tobytes() + self.end for ids in self._ids([t or "" for t in texts.to_pylist()])]
+        if len(texts) == 1 and len(text := texts[0].as_py() or "") > TOGETHER:
+            return [b"".join([*(self._by_parts(pa.array([some], pa.large_string()))[0] for some in _stretches(text)), self.end])]
+        return [ids + self.end for ids in self._by_parts(texts)]
+
+
+def _stretches(text: str) -> Iterator[str]:
+    """A long text in stretches of whole words."""
+    first = 0
+    while first < len(text):
+        gap = GAP.search(text, first + TOGETHER)
+        stop = gap.end() if gap else len(text)
+        yield text[first:stop]
+        first = stop
 
 
 _encoders: dict[tuple, Encoder] = {}

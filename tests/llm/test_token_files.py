@@ -151,3 +151,20 @@ def test_every_letter_and_sign_alone_and_among_others():
     texts = [*texts, "".join(chars), " ".join(chars)]
     assert [np.frombuffer(x, "<u2").tolist() for x in ENCODER.encode(texts)] == expected(texts, tok=PLAIN)
     ENCODER._forget()
+
+
+def test_a_long_text_is_encoded_by_stretches(monkeypatch):
+    monkeypatch.setattr(token_files, "TOGETHER", 50_000)
+    text = "it's \u6f22\u5b57 don't\n" * 100_000
+    want = expected(["it's \u6f22\u5b57 don't"], tok=PLAIN)[0][:-1]
+    ENCODER.encode(["it's"])
+    tracemalloc.start()
+    (raw,) = ENCODER.encode([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    ids = np.frombuffer(raw, "<u2")
+    assert (ids[:-1].reshape(-1, len(want)) == want).all() and ids[-1] == 2 and len(ids) == 100_000 * len(want) + 1
+    assert peak < 3 * len(raw) + 4 * len(text) + 5_000_000
+    odd = ["x" * 120_000 + " y", " " * 120_000, "\n" + "it's" * 30_000, "a <|endoftext|>b " * 9_000]
+    assert [np.frombuffer(ENCODER.encode([t])[0], "<u2").tolist() for t in odd] == expected(odd, tok=PLAIN)
+    ENCODER._forget()
